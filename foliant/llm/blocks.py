@@ -28,6 +28,8 @@ ROW = "block long, bucket int, payload binary"
 ROW_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 #: Bucket numbers below zero mark rows that carry a block itself.
 TEXT = -1
+#: Stands for a null identifier inside blocks.
+NULL_ID = -(1 << 63)
 
 
 def squeeze(*parts: bytes) -> bytes:
@@ -114,11 +116,16 @@ PACKED = pa.schema([*ROW_ARROW, ("n_bytes", pa.int64())])
 def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "blocks") -> tuple[DataFrame, int]:
     """(table of blocks in the shared folder, bytes of text in it)."""
     ship(docs.sparkSession)
-    table = cut(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pack, f"{ROW}, n_bytes long"), label)
+    table = cut(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, f"{ROW}, n_bytes long"), label)
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     return table.select("block", "bucket", "payload"), total
 
 
+def with_null_id(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The result with its null identifiers as they were."""
+    return df.withColumn(id_col, F.when(F.col(id_col) != NULL_ID, F.col(id_col)))
+
+
 def buckets_for(total_bytes: int, keys_per_byte: float, keys_each: int = 1_500_000) -> int:
     return spread(int(total_bytes * keys_per_byte), keys_each)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, answer, ask, blocks_of, buckets_for, cells, expand, from_planes, meet, merged, pack_sorted, planes, squeeze, unpack_sorted
+from .blocks import NULL_ID, Block, answer, ask, blocks_of, buckets_for, cells, expand, from_planes, meet, merged, pack_sorted, planes, squeeze, unpack_sorted, with_null_id
 from .runtime import cut
 from .textcodes import TO_LOWER, U64, mix, owner, span_hashes, word_spans
 
@@ -35,9 +35,9 @@ ADD = 0.1
 RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def is_held_out(doc_id: int | None, folds: int, fold: int) -> bool:
+def is_held_out(doc_id: int, folds: int, fold: int) -> bool:
     """crc32 of the id as text; a null id counts as the text ''."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
+    return zlib.crc32(b"" if doc_id == NULL_ID else str(doc_id).encode()) % folds == fold
 
 
 class Tokens:
@@ -144,5 +144,5 @@ def score_texts(docs: DataFrame, *, order: int = 2, mu: float = 60.0, folds: int
         )
 
     scored = meet(table, answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    return with_null_id(scored).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm
+from . import lm, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lm_scoring,)}
+    return {f.__name__: f for f in (op1_lm_scoring, op3_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
