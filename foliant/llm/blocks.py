@@ -20,10 +20,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, ship, spread
+from .runtime import cut, release, ship, spread
 from .textcodes import U64, join_texts, runs
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 ROW = "block long, bucket int, payload binary"
 ROW_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 #: Bucket numbers below zero mark rows that carry a block itself.
@@ -97,6 +97,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payload = squeeze(np.array(ids, np.int64).tobytes(), np.diff(offsets).tobytes(), buf.tobytes())
         row = pa.RecordBatch.from_pydict({"block": [base + seq], "bucket": [TEXT], "payload": [payload], "n_bytes": [len(buf)]}, schema=PACKED)
         seq, ids, texts, size = seq + 1, [], [], 0
+        release()
         return row
 
     for batch in batches:
@@ -150,7 +151,9 @@ def ask(table: DataFrame, requests: Callable[[Block], list[tuple[int, bytes]]])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
-                yield rows(block, requests(Block(payload.as_py())))
+                out = rows(block, requests(Block(payload.as_py())))
+                release()
+                yield out
 
     return table.mapInArrow(run, ROW)
 
@@ -162,6 +165,7 @@ def answer(asked: DataFrame, merge: Callable[[list[bytes]], tuple[list[bytes], i
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("block")
         out, a, b = merge(group.column("payload").to_pylist())
+        release()
         rest = [0] * (len(out) - 1)
         return pa.Table.from_arrays(
             [group.column("block"), group.column("bucket"), pa.array(out, pa.binary()), pa.array([a, *rest], pa.int64()), pa.array([b, *rest], pa.int64())],
@@ -176,7 +180,9 @@ def meet(table: DataFrame, answers: DataFrame, finish: Callable[[Block, dict[int
 
     def run(group: pa.Table) -> pa.Table:
         got = dict(zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True))
-        return finish(Block(got.pop(TEXT)), got, group.column("block")[0].as_py())
+        out = finish(Block(got.pop(TEXT)), got, group.column("block")[0].as_py())
+        release()
+        return out
 
     return table.unionByName(answers.select("block", "bucket", "payload")).groupBy("block").applyInArrow(run, schema)
 

@@ -7,14 +7,21 @@ re-run.  Nothing here uses a machine-local folder unless that setting is absent.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+except OSError:  # another C library: memory stays with the worker
+    _LIBC = None
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
@@ -71,6 +78,13 @@ def discard(*tables: DataFrame) -> None:
             drop_path(t.sparkSession, f)
 
 
+def release() -> None:
+    """Give memory of finished work back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def spread(amount: int, each: int) -> int:
     """Number of buckets for ``amount`` units at ``each`` units a bucket, at least 16."""
     return int(max(16, -(-int(amount or 0) // each)))
