@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, simhash, substring
+from . import decontam, langid, lm, quality, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +31,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("longest_match", "match_at")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.learn(docs))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op3_substring_dedup, op4_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op3_substring_dedup, op4_decontamination, op6_quality_rules, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
