@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import cut, release, ship
-from .textcodes import U64, join_texts, owner, span_hashes
+from .suffixes import lookup, order_of, pack, spread_ranges
+from .textcodes import join_texts, owner, span_hashes
 
 WINDOW = 10
 #: Bytes of benchmark text broadcast at once.
@@ -65,12 +66,11 @@ class TestSuffixes:
         length = np.minimum(window, count[item])
         starts = (at + length <= end[item]) & (length > 0) & ((length == window) | (at == (end - count)[item]))
         self.bits = max(1, int(len(self.vocabulary)).bit_length())
-        self.per = 63 // self.bits
         self.start, self.item, self.length = at[starts], item[starts], length[starts]
         self.position = self.start - (end - count)[self.item]
         self.shortest = int(self.length.min()) if len(self.length) else 0
         self.depth = int(self.length.max()) if len(self.length) else 0
-        keys = self.pack(np.concatenate((code, np.zeros(window, np.int64))), self.start, self.length)
+        keys = pack(np.concatenate((code, np.zeros(window, np.int64))), self.start, self.length, self.bits, self.depth)
         # Suffixes of equal windows are looked up once.
         order = np.lexsort([*reversed(keys), self.length])
         same = np.ones(len(order), np.bool_)
@@ -83,18 +83,6 @@ class TestSuffixes:
         self.keys = [k[order][self.first] for k in keys]
         self.lengths = self.length[order][self.first]
 
-    def pack(self, code: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> list[np.ndarray]:
-        """Numbers that order suffixes by their first words (codes past ``length`` count as 0)."""
-        out = []
-        for lo in range(0, self.depth, self.per):
-            key = np.zeros(len(start), U64)
-            for i in range(self.per):
-                key <<= U64(self.bits)
-                if lo + i < self.depth:
-                    key |= np.where(lo + i < length, code[start + lo + i], 0).astype(U64)
-            out.append(key)
-        return out or [np.zeros(len(start), U64)]
-
 
 def search(codes: np.ndarray, count: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
     """(places, test suffixes): each occurrence of a window in the texts of a shard."""
@@ -113,37 +101,12 @@ def search(codes: np.ndarray, count: np.ndarray, test: TestSuffixes) -> tuple[np
     suffix = np.flatnonzero(known >= test.shortest)
     if not len(suffix):
         return none, none
-    keys = test.pack(np.concatenate((code, np.zeros(test.window, code.dtype))), suffix, known[suffix])
-    array = np.lexsort(list(reversed(keys)))
+    keys = pack(np.concatenate((code, np.zeros(test.window, code.dtype))), suffix, known[suffix], test.bits, test.depth)
+    array = order_of(keys)
     suffix = suffix[array]
     keys = [k[array] for k in keys]
-    # Binary search of all test suffixes level by level: ranks of the levels so far are joined.
-    ranked = np.zeros(len(suffix), np.int64)
-    low = np.zeros(len(test.first), np.int64)
-    high = np.full(len(test.first), len(suffix), np.int64)
-    for level, key in enumerate(keys):
-        # Combined order of (rank of the earlier levels, this key) is ascending along the array.
-        values = np.unique(key)
-        rank = np.searchsorted(values, key)
-        joint = ranked * (len(values) + 1) + rank
-        begin = level * test.per
-        known_words = np.clip(test.lengths - begin, 0, test.per)
-        gap = ((test.per - known_words) * test.bits).astype(U64)
-        lowest = test.keys[level]
-        highest = lowest | ((U64(1) << gap) - U64(1))
-        active = (known_words > 0) & (high > low)
-        base = np.where(active, ranked[np.minimum(low, len(suffix) - 1)], 0) * (len(values) + 1)
-        new_low = np.searchsorted(joint, base + np.searchsorted(values, lowest, "left"), "left")
-        new_high = np.searchsorted(joint, base + np.searchsorted(values, highest, "right"), "left")
-        low = np.where(active, new_low, low)
-        high = np.where(active, new_high, high)
-        steps = np.zeros(len(suffix), np.int64)
-        steps[1:] = joint[1:] != joint[:-1]
-        ranked = np.cumsum(steps)
-    found = np.flatnonzero(high > low)
-    sizes = (high - low)[found]
-    where = np.repeat(low[found], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return suffix[where], np.repeat(found, sizes)
+    which, places = spread_ranges(*lookup(keys, test.keys, test.lengths, test.bits))
+    return suffix[places], which
 
 
 HITS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("hit", pa.binary()), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("at_word", pa.int64())])

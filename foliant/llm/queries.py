@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lm, quality, simhash, substring
+from . import decontam, langid, lm, quality, sentencepiece_sa, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,8 +40,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sa.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op3_substring_dedup, op4_decontamination, op6_quality_rules, op7_language_id)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op3_substring_dedup, op4_decontamination, op6_quality_rules, op7_language_id, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
