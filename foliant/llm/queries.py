@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lm, quality, sentencepiece_sa, simhash, substring
+from . import decontam, html_diff, langid, lm, quality, sentencepiece_sa, simhash, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,12 +40,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_sa.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op3_substring_dedup, op4_decontamination, op6_quality_rules, op7_language_id, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op3_substring_dedup, op4_decontamination, op6_quality_rules, op7_language_id, op8_html_extraction, op9_warc, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
