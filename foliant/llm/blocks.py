@@ -73,7 +73,7 @@ class Block:
     """Identifiers, texts in one buffer, and offsets."""
 
     def __init__(self, payload: bytes):
-        ids, sizes, self.data = expand(payload)
+        ids, sizes, self.data, self._carry = expand(payload)
         self.ids = np.frombuffer(ids, np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int64))))
         self.buf = np.frombuffer(self.data, np.uint8)
@@ -81,6 +81,10 @@ class Block:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def carried(self) -> pa.Table | None:
+        """The other columns of the block's rows."""
+        return pa.ipc.open_stream(pa.py_buffer(self._carry)).read_all() if len(self._carry) else None
+
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
@@ -89,22 +93,36 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base, seq = (context.partitionId() if context else 0) << 32, 0
     ids: list[int] = []
     texts: list[bytes | None] = []
+    rest: list[pa.RecordBatch] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal seq, ids, texts, size
+        nonlocal seq, ids, texts, rest, size
         buf, offsets = join_texts(texts)
-        payload = squeeze(np.array(ids, np.int64).tobytes(), np.diff(offsets).tobytes(), buf.tobytes())
+        carry = b""
+        if rest:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                for r in rest:
+                    out.write_batch(r)
+            carry = sink.getvalue().to_pybytes()
+        payload = squeeze(np.array(ids, np.int64).tobytes(), np.diff(offsets).tobytes(), buf.tobytes(), carry)
         row = pa.RecordBatch.from_pydict({"block": [base + seq], "bucket": [TEXT], "payload": [payload], "n_bytes": [len(buf)]}, schema=PACKED)
-        seq, ids, texts, size = seq + 1, [], [], 0
+        seq, ids, texts, rest, size = seq + 1, [], [], [], 0
         release()
         return row
 
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        others = batch.select(range(2, batch.num_columns))
+        last = 0
+        for at, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True), 1):
             ids.append(i)
             texts.append(t)
             size += len(t or b"") + 1
+            if size >= BLOCK_BYTES or at == batch.num_rows:
+                if others.num_columns:
+                    rest.append(others.slice(last, at - last))
+                last = at
             if size >= BLOCK_BYTES:
                 yield flush()
     if ids:
@@ -114,10 +132,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PACKED = pa.schema([*ROW_ARROW, ("n_bytes", pa.int64())])
 
 
-def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "blocks") -> tuple[DataFrame, int]:
-    """(table of blocks in the shared folder, bytes of text in it)."""
+def blocks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "blocks", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(table of blocks in the shared folder, bytes of text in it); the columns of ``carry`` stay
+    with their rows."""
     ship(docs.sparkSession)
-    table = cut(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, f"{ROW}, n_bytes long"), label)
+    table = cut(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry{i}") for i, c in enumerate(carry))).mapInArrow(_pack, f"{ROW}, n_bytes long"), label)
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     return table.select("block", "bucket", "payload"), total
 

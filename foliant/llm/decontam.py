@@ -230,3 +230,35 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], "contaminated": [n > 0 for n in n_hit], "longest_match": batch.column("longest"), "match_at": batch.column("at_word"),
             }
         )
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """The rows of docs, all columns as they are, in which no benchmark window occurs."""
+    spark = docs.sparkSession
+    ship(spark)
+    at = docs.columns.index("text")
+
+    def without(source: DataFrame, piece: list[tuple[str, bytes | None]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(piece)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            test = TestSuffixes(shared.value, window)
+            for batch in batches:
+                texts = batch.column(at).cast(pa.binary()).to_pylist()
+                lo = size = 0
+                for i, t in enumerate(texts):
+                    size += len(t or b"")
+                    if size >= CHUNK or i == len(texts) - 1:
+                        codes, count = words(texts[lo : i + 1])
+                        place, _ = search(codes, count, test)
+                        clean = np.ones(len(count), np.bool_)
+                        clean[np.searchsorted(np.cumsum(count), place, "right")] = False
+                        yield batch.slice(lo, i + 1 - lo).filter(pa.array(clean))
+                        release()
+                        lo, size = i + 1, 0
+
+        return source.mapInArrow(run, docs.schema)
+
+    for piece in _pieces(benchmark, piece_bytes):
+        docs = without(docs, piece)
+    return docs

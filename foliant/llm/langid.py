@@ -78,9 +78,7 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray | None:
         """The text's vector, or None if it has no letter."""
-        if not text:
-            return None
-        letters = self.alphabet.letters(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+        letters = self.alphabet.letters(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32))
         if not letters.any():
             return None
         letters = np.concatenate(([0], letters, [0])).astype(np.int64)
@@ -163,3 +161,25 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, folds: int =
             release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, least: float = 0.0, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is identified; those that
+    :func:`identify` calls ``und``, or whose best cosine isn't above ``least``, go."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(prototypes)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = np.stack([v for _, v in sorted(shared.value.items())]) if shared.value else None
+        encoder = Encoder(dimensions)
+        for batch in batches:
+            stay = []
+            for text in batch.column(at).to_pylist():
+                v = encoder.encode(text) if matrix is not None else None
+                stay.append(v is not None and float((matrix @ _unit(v)).max()) > least)
+            yield batch.filter(pa.array(stay, pa.bool_()))
+            release()
+
+    return docs.mapInArrow(run, docs.schema)

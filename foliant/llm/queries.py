@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_diff, langid, lm, quality, sentencepiece_sa, simhash, substring, warc
+from . import decontam, html_diff, langid, lines, lm, quality, sentencepiece_sa, simhash, substring, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("longest_match", "match_at")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,7 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op3_substring_dedup, op4_decontamination, op6_quality_rules, op7_language_id, op8_html_extraction, op9_warc, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_dedup, op3_substring_dedup, op4_decontamination, op5_line_dedup, op6_quality_rules, op7_language_id, op8_html_extraction, op9_warc, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
