@@ -76,10 +76,10 @@ class VersionedTable:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def pointer(self) -> dict:
-        p, fs = self._fs(f"{self.root}/_current.json")
+        p, fs = self._fs(f"{self.root}/current.json")
         if not fs.exists(p):
             return {"version": 0, "path": None}
-        return json.loads(self.spark.read.text(f"{self.root}/_current.json", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first()[0])
 
     def version(self) -> int:
         return self.pointer()["version"]
@@ -94,11 +94,11 @@ class VersionedTable:
         path = f"{self.root}/v{now['version'] + 1}-{uuid.uuid4().hex[:8]}"
         df.write.partitionBy(*partition_by).parquet(path)
         text = json.dumps({"version": now["version"] + 1, "path": path})
-        tmp, fs = self._fs(f"{self.root}/_next-{uuid.uuid4().hex[:8]}.json")
+        tmp, fs = self._fs(f"{self.root}/next-{uuid.uuid4().hex[:8]}.json")
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        final, _ = self._fs(f"{self.root}/_current.json")
+        final, _ = self._fs(f"{self.root}/current.json")
         fs.delete(final, False)
         if not fs.rename(tmp, final):
             raise OSError("the version pointer can't be turned")

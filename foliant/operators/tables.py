@@ -64,12 +64,12 @@ def describe(cells: DataFrame, sample_rows: int = 5) -> Description:
 
 
 def mask_sql(sql: str) -> str:
-    """The statement with literals, quoted names and comments blanked out; same length."""
+    """The statement with comments blanked out, and literals and quoted names filled with a mark
+    that is neither a word nor a space; same length."""
     out, i, n = list(sql), 0, len(sql)
 
-    def blank(a: int, b: int) -> None:
-        for j in range(a, b):
-            out[j] = " "
+    def blank(a: int, b: int, mark: str = " ") -> None:
+        out[a:b] = mark * (b - a)
 
     while i < n:
         c = sql[i]
@@ -84,7 +84,7 @@ def mask_sql(sql: str) -> str:
                     j += 2
                     continue
                 break
-            blank(i, j + 1)
+            blank(i, j + 1, "\x01")
             i = j + 1
         elif sql.startswith("--", i):
             j = sql.find("\n", i)
