@@ -17,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -241,15 +243,15 @@ class Tokenizer:
         # Characters without a piece become bytes or the unknown piece.
         ids = np.concatenate((self.ids, [self.unknown]))[ranks]
         if self.bytes_of and len(strange):
-            count = np.ones(len(ids), np.int64)
+            width = np.ones(len(ids), np.int64)
             odd = np.flatnonzero(ranks == n)
             coded = [chr(c).encode("utf-8", "surrogatepass") for c in points[ends[odd]].tolist()]
-            count[odd] = [len(c) for c in coded]
-            out = np.repeat(ids, count)
-            begin = np.cumsum(count) - count
+            width[odd] = [len(c) for c in coded]
+            out = np.repeat(ids, width)
+            begin = np.cumsum(width) - width
             for i, c in zip(begin[odd].tolist(), coded, strict=True):
                 out[i : i + len(c)] = [self.bytes_of[x] for x in c]
-            ids, owner = out, np.repeat(owner, count)
+            ids, owner = out, np.repeat(owner, width)
         counts = np.bincount(owner, minlength=len(units))
         # Runs of spaces hold pieces of one score, where merging goes from the left: done by merging.
         odd = [i for i, u in enumerate(units) if self.model.kind == BPE and u[:2] == SPACE * 2]
@@ -268,14 +270,13 @@ class Tokenizer:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null or empty text has none."""
-        index: dict[str, int] = {}
+        index: defaultdict[str, int] = defaultdict(count().__next__)
         units: list[int] = []
         ends = []
         for t in texts:
             if t:
                 text = t.replace(" ", SPACE)
-                for u in self.unit.findall(SPACE + text if self.model.dummy_prefix else text):
-                    units.append(index.setdefault(u, len(index)))
+                units += [index[u] for u in self.unit.findall(SPACE + text if self.model.dummy_prefix else text)]
             ends.append(len(units))
         if not units:
             return [np.zeros(0, np.int32) for _ in texts]
