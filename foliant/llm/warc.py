@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, fresh_path, release, ship
+from .runtime import cut, fresh_path, release, ship, spread
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -182,8 +182,10 @@ def read(index: DataFrame) -> DataFrame:
                 lo = hi
             release()
 
-    part = F.floor(F.col("offset") / F.lit(8 * READ_BYTES))
-    return index.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
+    # Tasks by the bytes they read, not by those of the index.
+    part = F.floor(F.col("offset") / F.lit(2 * READ_BYTES))
+    n_tasks = spread(index.agg(F.sum("length")).first()[0] or 0, 8 * READ_BYTES)
+    return index.select("file", "offset", "length").repartition(n_tasks, "file", part).sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
 
 
 def payloads(records: DataFrame) -> DataFrame:
