@@ -227,7 +227,8 @@ def template_lines(keyed: DataFrame) -> DataFrame:
 
     keyed: row (unique), url, html.  Pages are sorted by host and path over all partitions; each
     meets the next by its place, also across partitions, so the pairs don't depend on them."""
-    light = keyed.select("row", "url", "html").mapInArrow(_light, "row string, host string, path string, own boolean, lines array<long>")
+    # Written before the sort, which would else extract twice: once to sample its ranges.
+    light = cut(keyed.select("row", "url", "html").mapInArrow(_light, "row string, host string, path string, own boolean, lines array<long>"), "html-light")
     ordered = cut(light.orderBy("host", "path", "row").withColumn("at", F.monotonically_increasing_id()), "html-order")
     # The last place of each partition and the first of the next: one row a partition.
     edges = sorted(tuple(r) for r in ordered.groupBy(F.shiftright("at", 33)).agg(F.min("at"), F.max("at")).collect())
