@@ -1 +1,72 @@
-"""Registered queries."""
+"""Registered queries: documents to sections and chunks, pages to titles and links, stored values."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.functions import text as tx
+from foliant.operators import chunking, embedding, lexical
+from foliant.sources import files
+
+from .registry import query, table
+
+
+def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    none = lambda t: F.lit(None).cast(t)
+    section = F.struct(
+        F.lit("prose").alias("kind"), F.col("text"), F.lit(False).alias("keep_whole"), none("string").alias("table_key"), none("int").alias("page"), none("int").alias("slide"), none("string").alias("sheet"),
+        none("string").alias("cell_range"), F.array(F.col("lang")).alias("heading_path"), none("string").alias("title"), none("array<string>").alias("embedded_path"),
+    )
+    return d.select("doc_id", F.col("source").alias("doc_title"), F.array(section).alias("sections"))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of every document; there is no SQL for the sentence fold (see tests/test_chunking.py)."""
+    return chunking.chunks(_sectioned(spark, sf_dir)).select("doc_id", "ordinal", "kind", "text", "embedding_text")
+
+
+@query("SELECT doc_id, CAST(0 AS INTEGER) AS first, true AS has_chunks, 'src' AS head FROM documents WHERE length(trim(text)) > 0")
+def chunk_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunking.chunks(_sectioned(spark, sf_dir))
+    return c.groupBy("doc_id").agg(F.min("ordinal").alias("first"), (F.count("*") == F.max("ordinal") + 1).alias("has_chunks"), F.min(F.substring("embedding_text", 1, 3)).alias("head"))
+
+
+@query("SELECT doc_id, 'n' || length(regexp_replace(text, '\\s', '', 'g')) AS chars FROM documents WHERE length(text) > 0")
+def chunk_losslessness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without overlap the chunks of a document hold its non-space characters just once."""
+    c = chunking.chunks(_sectioned(spark, sf_dir), options=chunking.Options(overlap=0))
+    return c.groupBy("doc_id").agg(F.concat(F.lit("n"), F.sum(F.length(F.regexp_replace("text", r"\s", ""))).cast("string")).alias("chars"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, (length(html) - length(replace(html, '<a href=', ''))) / 8 AS n_links, (length(html) - length(replace(html, '<h1>', ''))) / 4 AS n_headings FROM pages")
+def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    count = lambda t: tx.occurrences(F.col("html"), t).cast("double")
+    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), count("<a href=").alias("n_links"), count("<h1>").alias("n_headings"))
+
+
+@query()
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of every page by the HTML source; tested on small pages in tests/test_sources.py."""
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    parsed = files.parse(p)
+    return parsed.select("path", F.posexplode("sections").alias("place", "section")).select("path", "place", "section.kind", "section.title", "section.text")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id < 1000")
+def json_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT substr(lower(text), g, 3) AS trigram, count(*) AS n FROM (SELECT text, unnest(range(1, length(text) - 1)) AS g FROM documents WHERE length(text) >= 3) GROUP BY 1")
+def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.postings(table(spark, sf_dir, "documents")).groupBy("trigram").agg(F.sum("tf").alias("n"))
+
+
+@query()
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors without a model file: signed token hashes, normalised."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", embedding.embed(F.col("text")).alias("embedding"))
