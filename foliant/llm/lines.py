@@ -33,53 +33,120 @@ SIMILARITY = 0.8
 CROWD = 64
 #: Lines of a tile of a crowded key.
 TILE = 512
-SLICE = 1 << 20
+#: Characters whose hashes are permuted at once, so that they stay in a core's cache.
+SLICE = 1 << 16
+#: Pairs verified at once.
+PAIRS = 2048
 _rng = np.random.Generator(np.random.PCG64(0x11E5))
 MULTIPLY = (_rng.integers(0, 1 << 31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
 ADD = _rng.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 
 
+def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the shingles of all lines, their number by line); a line shorter than a
+    shingle is padded to one."""
+    texts = [t.ljust(SHINGLE, "\0") for t in lines]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    end = np.cumsum(length)
+    valid = np.ones(len(codes), np.bool_)
+    for i in range(1, SHINGLE):
+        valid[end - i] = False
+    # An odd multiplier spreads code points; windows are mixed at the end.
+    hashes = window_hashes(codes.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(1), SHINGLE)
+    return hashes[valid[: len(hashes)]], length - SHINGLE + 1
+
+
 def band_keys(lines: list[bytes]) -> np.ndarray:
-    """(lines, BANDS) keys; a line shorter than a shingle is padded to one."""
+    """(lines, BANDS) keys."""
     out = np.empty((len(lines), BANDS), U64)
     lo = 0
     while lo < len(lines):
         hi, size = lo, 0
-        texts = []
         while hi < len(lines) and (hi == lo or size < SLICE):
-            t = lines[hi].decode().ljust(SHINGLE, "\0")
-            size += len(t)
-            texts.append(t)
+            size += len(lines[hi])
             hi += 1
-        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        length = np.fromiter(map(len, texts), np.int64, len(texts))
-        end = np.cumsum(length)
-        valid = np.ones(len(codes), np.bool_)
-        for i in range(1, SHINGLE):
-            valid[end - i] = False
-        hashes = (window_hashes(mix(codes.astype(U64)), SHINGLE) >> U64(32)).astype(np.uint32)[valid[: len(codes) - SHINGLE + 1]]
-        count = length - SHINGLE + 1
+        hashes, count = hashed([x.decode() for x in lines[lo:hi]])
+        hashes = (hashes >> U64(32)).astype(np.uint32)
         start = np.cumsum(count) - count
+        permuted = np.empty_like(hashes)
         for b in range(BANDS):
-            key = np.full(len(texts), b + 1, U64)
+            key = np.full(hi - lo, b + 1, U64)
             for r in range(b * ROWS, (b + 1) * ROWS):
-                key = mix(key + np.minimum.reduceat(hashes * MULTIPLY[r] + ADD[r], start).astype(U64))
+                np.multiply(hashes, MULTIPLY[r], out=permuted)
+                permuted += ADD[r]
+                key = mix(key + np.minimum.reduceat(permuted, start).astype(U64))
             out[lo:hi, b] = key
         lo = hi
     return out
 
 
-def shingles(line: str) -> set[str]:
-    line = line.ljust(SHINGLE, "\0")
-    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingle hashes of each line, sorted."""
+    if not lines:
+        return []
+    hashes, count = hashed(lines)
+    out = []
+    for x in np.split(hashes, np.cumsum(count)[:-1]):
+        x.sort()
+        out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
+    return out
 
 
-def alike(a: set[str], b: set[str], similarity: float) -> bool:
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) < similarity * len(large):
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of :func:`shingle_sets` have that Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
-    both = len(small & large)
-    return both >= similarity * (len(a) + len(b) - both)
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
+def spanning_tree(names: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Edges of a spanning tree of each component of the similar sets.
+
+    Breadth first: a reached line is compared at once with all lines not reached yet, by marking
+    its shingles in a table and counting the marks of each."""
+    size = np.array([len(x) for x in sets], np.int64)
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    start = np.cumsum(size) - size
+    rest = np.argsort(names, kind="stable")
+    a: list[int] = []
+    b: list[int] = []
+
+    def gather(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = size[lines]
+        begin = np.cumsum(n) - n
+        return shingle[np.repeat(start[lines] - begin, n) + np.arange(int(n.sum()))], begin
+
+    mark = np.zeros(int(shingle.max(initial=0)) + 1, np.bool_)
+    flat, begin = gather(rest)
+    alive = np.ones(len(rest), np.bool_)  # of the lines that flat holds
+    while alive.any():
+        first = int(np.argmax(alive))
+        alive[first] = False
+        frontier = [int(rest[first])]
+        while frontier and alive.any():
+            x = frontier.pop()
+            own = shingle[start[x] : start[x] + size[x]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[flat], begin, dtype=np.int64)
+            mark[own] = False
+            near = np.flatnonzero(alive & (shared >= similarity * (size[x] + size[rest] - shared)))
+            a += [int(names[x])] * len(near)
+            b += names[rest[near]].tolist()
+            frontier += rest[near].tolist()
+            alive[near] = False
+            if np.count_nonzero(alive) * 2 < len(rest):
+                rest = rest[alive]
+                if not len(rest):
+                    break
+                flat, begin = gather(rest)
+                alive = np.ones(len(rest), np.bool_)
+        if not len(rest):
+            break
+    return a, b
 
 
 class Lines:
@@ -215,8 +282,13 @@ def similar_lines(bands: DataFrame, lines: DataFrame, similarity: float, crowd:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [alike(shingles(x), shingles(y), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            for lo in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(lo, PAIRS)
+                left, right = part.column(2).to_pylist(), part.column(3).to_pylist()
+                texts = list(dict.fromkeys(left + right))
+                sets = dict(zip(texts, shingle_sets(texts), strict=True))
+                good = [similar(sets[x], sets[y], similarity) for x, y in zip(left, right, strict=True)]
+                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
             release()
 
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
@@ -229,19 +301,7 @@ def similar_lines(bands: DataFrame, lines: DataFrame, similarity: float, crowd:
     grouped = bands.join(once, "key").withColumn("own", own).withColumn("other", other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "line")
 
     def search(group: pa.Table) -> pa.Table:
-        sets = [shingles(t) for t in group.column("text").to_pylist()]
-        names = group.column("line").to_pylist()
-        a, b = [], []
-        rest = sorted(range(len(sets)), key=lambda i: names[i])
-        while rest:
-            frontier = [rest.pop(0)]
-            while frontier and rest:
-                x = frontier.pop()
-                near = {i for i in rest if alike(sets[x], sets[i], similarity)}
-                a += [names[x]] * len(near)
-                b += [names[i] for i in near]
-                frontier += near
-                rest = [i for i in rest if i not in near]
+        a, b = spanning_tree(group.column("line").to_numpy(), shingle_sets(group.column("text").to_pylist()), similarity)
         release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

@@ -32,6 +32,11 @@ def low(text):
     return (text or "").encode().lower().decode()
 
 
+def shingles(line):
+    line = line.ljust(lines.SHINGLE, "\0")
+    return {line[i : i + lines.SHINGLE] for i in range(len(line) - lines.SHINGLE + 1)}
+
+
 def union(edges):
     parent = {}
 
@@ -170,13 +175,13 @@ def test_lines_match_brute_force(docs, rows, options):
         for k, x in enumerate(r["text"].split("\n")):
             if name(x):
                 first[name(x)] = min(first.get(name(x), (1 << 62, 0)), (r["doc_id"], k))
-    sets = sorted(((lines.shingles(x), x) for x in first), key=lambda s: (len(s[0]), s[1]))
+    sets = sorted(((shingles(x), x) for x in first), key=lambda s: (len(s[0]), s[1]))
     pairs = []
     for i, (a, x) in enumerate(sets):
         for b, y in sets[i + 1 :]:
             if len(a) < 0.8 * len(b):
                 break
-            if lines.alike(a, b, 0.8):
+            if len(a & b) >= 0.8 * len(a | b):
                 pairs.append((x, y))
     find = union(pairs)
     keeper = {}
@@ -191,6 +196,20 @@ def test_lines_match_brute_force(docs, rows, options):
         assert (g.lang, g.source) == (r["lang"], r["source"])
 
 
+def test_line_trees_span_their_components():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 30, 90):
+        base = [" ".join(f"w{x}" for x in rng.integers(0, 50, 30)) for _ in range(3)]
+        texts = [base[i % 3][: rng.integers(60, 90)] + "x" * int(rng.integers(0, 9)) for i in range(n)]
+        names = rng.permutation(n).astype(np.int64)
+        sets = [shingles(t) for t in texts]
+        a, b = lines.spanning_tree(names, lines.shingle_sets(texts), 0.8)
+        full = union((int(names[i]), int(names[j])) for i in range(n) for j in range(n) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+        find = union(zip(a, b, strict=True))
+        assert len(a) < n or n == 0
+        assert [find(int(x)) for x in names] == [full(int(x)) for x in names]
+
+
 def test_quality_measures(docs, rows):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for r in rows:
