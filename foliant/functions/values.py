@@ -25,10 +25,14 @@ def parse_number(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` of a date text with an optional time, or null."""
-    part = lambda i: F.regexp_extract(c, DATE, i)
-    two = lambda i: F.lpad(F.when(part(i) == "", F.lit("0")).otherwise(part(i)), 2, "0")
-    stamp = F.concat(part(1), F.lit("-"), two(3), F.lit("-"), two(4), F.lit(" "), two(5), F.lit(":"), two(6), F.lit(":"), two(7))
-    return F.when(c.rlike(DATE), F.date_format(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")), "yyyy-MM-dd HH:mm:ss"))
+    plain = F.translate(F.regexp_replace(F.trim(c), r"\.[0-9]+$", ""), "/T", "- ")
+    stamp = F.try_to_timestamp(plain, F.lit("yyyy-M-d[ H:mm[:ss]]"))
+    return F.when(c.rlike(DATE), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
+
+
+def is_number(c: Column) -> Column:
+    """Whether :func:`parse_number` gives a number."""
+    return c.rlike(NUMBER)
 
 
 def is_blank(c: Column) -> Column:

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import strip_accents
+from foliant.shipping import ship
 
 UNKNOWN, CLS, SEP = "[UNK]", "[CLS]", "[SEP]"
 LONGEST_WORD, BATCH = 100, 16
@@ -110,6 +111,8 @@ def in_length_order(texts: list[str], run: Callable[[list[str]], list], batch: i
 def embed(text: Column, *, prefix: str = "", dimensions: int = 64, model: Callable[[], Callable[[list[str]], list]] | None = None) -> Column:
     """Vectors of a text column.  ``model`` opens a model once a task; without one, hashed vectors."""
 
+    ship(SparkSession.getActiveSession())
+
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         infer = model() if model else lambda texts: [hashed_vector(t, dimensions) for t in texts]

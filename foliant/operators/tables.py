@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.values import format_value, is_blank, parse_date, parse_number, sql_names
+from foliant.functions.values import format_value, is_blank, is_number, parse_date, parse_number, sql_names
 
 SAMPLE_ROWS, MOST_ROWS, TIMEOUT_S = 20, 500, 5.0
 CACHED_TABLES, CACHE_S = 4, 60.0
@@ -32,7 +32,7 @@ def infer_kinds(cells: DataFrame) -> dict[str, str]:
     aggs = []
     for i, c in enumerate(cells.columns):
         v, full = F.col(f"`{c}`"), ~is_blank(F.col(f"`{c}`"))
-        aggs += [F.count_if(full).alias(f"n{i}"), F.count_if(full & parse_number(v).isNotNull()).alias(f"f{i}"), F.count_if(full & parse_date(v).isNotNull()).alias(f"d{i}")]
+        aggs += [F.count_if(full).alias(f"n{i}"), F.count_if(full & is_number(v)).alias(f"f{i}"), F.count_if(full & parse_date(v).isNotNull()).alias(f"d{i}")]
     row = cells.agg(*aggs).first()
     kind = lambda i: "text" if not row[f"n{i}"] else "number" if row[f"f{i}"] == row[f"n{i}"] else "date" if row[f"d{i}"] == row[f"n{i}"] else "text"
     return {c: kind(i) for i, c in enumerate(cells.columns)}

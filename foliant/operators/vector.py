@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.shipping import ship
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision; null if the sizes differ."""
@@ -39,6 +41,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "vec_
 
     The query travels as one array literal and scores are taken from Arrow batches as one matrix
     product, so the plan is a scan and a TakeOrderedAndProject without a shuffle."""
+    ship(vectors.sparkSession)
     q = np.asarray(query, np.float32)
 
     @F.pandas_udf("double")
@@ -55,6 +58,7 @@ def best_similarity(queries: DataFrame, vectors: DataFrame, *, query_id: str = "
     """(query_id, best): largest inner product of each query of a stated set with any vector.
 
     The set is met in blocks of a fixed number of queries against all vectors."""
+    ship(vectors.sparkSession)
     rows = queries.select(query_id, F.col(vector_col)).collect()
     out = None
     for lo in range(0, len(rows), 1024):

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.shipping import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -16,7 +19,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its name, with its SQL where SQL can express it."""
 
     def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        @wraps(f)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = shipped
         if sql:
             _SQL[f.__name__] = sql
         return f

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.chunking import Location, Section
+from foliant.shipping import ship
 
 # Extensions of each category, and what is never scanned.
 CATEGORIES = {
@@ -255,6 +256,8 @@ def parse(files: DataFrame) -> DataFrame:
     """(path, sections, error) of files (path, content): one bad file costs its own row only."""
     from foliant.operators.chunking import SECTIONS
 
+    ship(files.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         registry = default_registry()
         for batch in batches:
