@@ -12,30 +12,16 @@ import os
 import sys
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.shipping import ship  # noqa: F401  the operators take it from here
+
 try:
     _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 except OSError:  # another C library: memory stays with the worker
     _LIBC = None
-PACKAGE = Path(__file__).resolve().parents[1]
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, once per Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_foliant_shipped", False):
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="foliant-"), f"foliant-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, str(Path(PACKAGE.name) / p.relative_to(PACKAGE)))
-    sc.addPyFile(target)
-    sc._foliant_shipped = True
 
 
 def workspace(spark: SparkSession) -> str:
