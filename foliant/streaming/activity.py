@@ -46,9 +46,12 @@ def distinct_events(events: DataFrame, *, at: str, keys: list[str], late: str =
 
 
 def run_available(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All that the source has now, as a table; the stream ends with it."""
+    """All that the source has now, as a table; the stream ends with it.  Its checkpoint lies in the
+    folder of spark.checkpoint.dir; a temporary folder serves only where that is unset, as in tests."""
     name = f"s_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint or tempfile.mkdtemp(prefix="stream-")).trigger(availableNow=True).start()
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    checkpoint = checkpoint or (f"{shared.rstrip('/')}/streams/{name}" if shared else tempfile.mkdtemp(prefix="stream-"))
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
 
