@@ -36,6 +36,7 @@ HINT = re.compile(
     r"|newsletter|subscribe|subscription|sign-?up|log-?in|share|sharing|social|related|recommended|recommendations|trending|comments?|replies|reply|disqus|respond|discussion|pagination|pager|toolbar|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+LAYOUT = re.compile(r"(?:has|no|with|without|is|show|hide)[-_]", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
@@ -48,7 +49,10 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
     found = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    hint = f"{found.get('class', '')} {found.get('id', '')}"
+    # Names such as "has-sidebar" describe the layout around, not the element.
+    hint = " ".join(t for t in f"{found.get('class', '')} {found.get('id', '')}".split() if not LAYOUT.match(t))
+    if inside:
+        hint = re.sub(r"(?i)\b(?:entry|post|article|page|content)?[-_]?header\b", " ", hint)  # an article's own heading
     if name in ("html", "body", "main"):
         return False
     if name == "article":

@@ -40,7 +40,7 @@ def test_articles_come_out_whole(shipped):
     [
         (None, []), ("", []), ("<p>a<p>b", ["a", "b"]), ("<p>x &amp; y &lt;b&gt; &eacute;</p>", ["x & y <b> é"]), ("<div class='sidebar'>s</div><p>t", ["t"]), ("<article>a<div class='comments'><p>c</p></div></article><p>o</p>", ["a"]),
         ("<script>if (a<b) '</p>'</script><p>t</p>", ["t"]), ("<main><h1>T</h1><ul><li>1<li>2</ul></main><footer>f", ["T", "1", "2"]), ("<p>a\n  b<br>c</p>", ["a b c"]), ("<p>open <b>tag", ["open tag"]), ("<!-- <p>no --><p>yes", ["yes"]),
-        ("<form><p>f</p></form><p>t</p>", ["t"]), ("<p hidden>h</p><div role=banner>b</div><p>t</p>", ["t"]),
+        ("<div class='page has-sidebar'><article><header class='entry-header'><h1>T</h1></header><p>x</p></article></div>", ["T", "x"]), ("<form><p>f</p></form><p>t</p>", ["t"]), ("<p hidden>h</p><div role=banner>b</div><p>t</p>", ["t"]),
     ],
 )
 def test_lines(page, lines):
