@@ -35,7 +35,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: A vocabulary file above this isn't broadcast but refused.
 MODEL_BYTES = 64 << 20
 SPACE = "▁"
-BATCH = 2 << 20
+BATCH = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
