@@ -1,11 +1,12 @@
 """Main text of web pages, with nearest-URL page differencing.
 
-A page becomes text lines, one a block.  Lines inside navigation, headers, footers, asides,
-forms, adverts, notices and reader comments (by element, role, class or id) go.  Then each page
-is paired, within its host, with the page whose URL path is nearest in order; their lines are
-aligned by longest common subsequence and the shared ones, the template's, are deleted.  Lines
-inside an article or main element are the page's own by its markup: they take part in the
-alignment but stay, since two articles may quote the same passage.
+A page becomes text lines, one a block, navigation, adverts and footers included.  Each page is
+paired, within its host, with the page whose URL path is nearest in order; all their lines are
+aligned by longest common subsequence and the shared ones, the template's, are deleted.  Markup
+guards both sides: lines inside an article or main element are the page's own and stay, since two
+articles may quote the same passage, and lines inside navigation, headers, footers, asides, forms,
+adverts, notices and reader comments (by element, role, class or id) go although no page shares
+them.  Where a page has no neighbour, markup alone decides.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .runtime import cut, release, ship
 
 # Element names by what they mean for text.
 DROPPED = frozenset("nav footer aside form script style noscript template svg iframe object select button textarea dialog menu head title canvas audio video map math datalist".split())
+#: Dropped elements whose text no reader sees, so that it is no line.
+UNSEEN = DROPPED - frozenset("nav footer aside form button menu".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead title tr ul".split())
@@ -36,6 +39,7 @@ HINT = re.compile(
     r"|newsletter|subscribe|subscription|sign-?up|log-?in|share|sharing|social|related|recommended|recommendations|trending|comments?|replies|reply|disqus|respond|discussion|pagination|pager|toolbar|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 LAYOUT = re.compile(r"(?:has|no|with|without|is|show|hide)[-_]", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -60,23 +64,20 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
     return bool(HINT.search(hint))
 
 
-def lines_of(page: str | None) -> tuple[list[str], bool]:
-    """(text lines that aren't boilerplate by markup, whether they are those of a landmark)."""
+def marked_lines(page: str | None) -> list[tuple[str, bool, bool]]:
+    """(text line, whether it is boilerplate by markup, whether a landmark holds it) in order."""
     if not page:
-        return [], False
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, landmark
-    out: list[tuple[str, bool, float]] = []
+        return []
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, landmark, unseen
+    out: list[tuple[str, bool, bool]] = []
     text: list[str] = []
-    linked = 0
 
     def flush() -> None:
-        nonlocal linked
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                out.append((line, bool(stack and stack[-1][2]), linked / len(line)))
+                out.append((line, *(stack[-1][1:3] if stack else (False, False))))
             text.clear()
-        linked = 0
 
     def close(names: set[str], stop: set[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -91,14 +92,12 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
     while at < size:
         m = TAG.search(page, at)
         upto = m.start() if m else size
-        if upto > at and not (stack and stack[-1][1]):
+        if upto > at and not (stack and stack[-1][3]):
             text.append(page[at:upto])
-            if any(s[0] == "a" for s in stack[-4:]):
-                linked += upto - at
         if not m:
             break
         at = m.end()
-        if m[0].startswith("<![CDATA[") and not (stack and stack[-1][1]):
+        if m[0].startswith("<![CDATA[") and not (stack and stack[-1][3]):
             text.append(entities.escape(m[0][9:].removesuffix("]]>")))
         name = (m[2] or m[5] or "").lower()
         if not name:
@@ -110,7 +109,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
                 text.append(" ")
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if any(s[0] in BLOCK for s in stack[i:]):
+                    if any(s[0] in BLOCK for s in stack[i:]) or (stack[-1][1] and not (i and stack[i - 1][1])):
                         flush()
                     del stack[i:]
                     break
@@ -118,7 +117,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
         if name in VOID:
             if name == "hr":
                 flush()
-            elif name == "br" and not (stack and stack[-1][1]):
+            elif name == "br" and not (stack and stack[-1][3]):
                 text.append(" ")
             continue
         if name in BLOCK:
@@ -129,20 +128,38 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
         if name in ("td", "th"):
             text.append(" ")
         attributes = m[3] or m[6] or ""
-        parent = stack[-1] if stack else ("", False, False)
+        parent = stack[-1] if stack else ("", False, False, False)
         boilerplate = parent[1] or _is_boilerplate(name, attributes, parent[2])
         if boilerplate and not parent[1]:
             flush()
         landmark = parent[2] or (name in LANDMARK and not boilerplate)
         if attributes.endswith("/") and name in ("svg", "path", "math"):
             continue
-        stack.append((name, boilerplate, landmark))
+        unseen = parent[3] or (boilerplate and (name in UNSEEN or bool(HIDDEN.search(attributes))))
+        stack.append((name, boilerplate, landmark, unseen))
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
             at = end.start() if end else size
     flush()
-    own = [line for line, landmark, _ in out if landmark]
-    return (own, True) if own else ([line for line, _, share in out if share < 0.5], False)
+    return out
+
+
+def _by_markup(lines: list[tuple[str, bool, bool]]) -> tuple[list[str], bool]:
+    own = [line for line, marked, landmark in lines if landmark and not marked]
+    return (own, True) if own else ([line for line, marked, _ in lines if not marked], False)
+
+
+def lines_of(page: str | None) -> tuple[list[str], bool]:
+    """(text lines that aren't boilerplate by markup, whether they are those of a landmark)."""
+    return _by_markup(marked_lines(page))
+
+
+def own_text(lines: list[tuple[str, bool, bool]], gone: list[int] | None) -> str:
+    """The lines that stay, when those at the places of gone are shared (null: no neighbour)."""
+    if gone is None:
+        return "\n".join(_by_markup(lines)[0])
+    out = set(gone)
+    return "\n".join(line for i, (line, marked, landmark) in enumerate(lines) if not marked and (landmark or i not in out))
 
 
 def shared_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -199,15 +216,13 @@ def _prefix(a: str, b: str) -> int:
 
 def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: dict[str, list] = {"row": batch.column(0).to_pylist(), "host": [], "path": [], "own": [], "lines": []}
+        rows: dict[str, list] = {"row": batch.column(0).to_pylist(), "host": [], "path": [], "lines": []}
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             host, path = place_of(url)
-            lines, own = lines_of(page)
             rows["host"].append(host)
             rows["path"].append(path)
-            rows["own"].append(own)
-            rows["lines"].append([xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines])
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("row", pa.string()), ("host", pa.string()), ("path", pa.string()), ("own", pa.bool_()), ("lines", pa.list_(pa.int64()))]))
+            rows["lines"].append([xxhash.xxh64_intdigest(x) - (1 << 63) for x, _, _ in marked_lines(page)])
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("row", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64()))]))
         release()
 
 
@@ -217,32 +232,32 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, list] = {"row": [], "near": [], "after": [], "gone": []}
         for r in batch.to_pylist():
             near = _prefix(r["path"], r["path_b"])
-            a, b = ([], []) if r["own"] and r["own_b"] else shared_lines(r["lines"], r["lines_b"])
-            for row, after, gone, own in ((r["row"], 1, a, r["own"]), (r["row_b"], 0, b, r["own_b"])):
+            a, b = shared_lines(r["lines"], r["lines_b"])
+            for row, after, gone in ((r["row"], 1, a), (r["row_b"], 0, b)):
                 rows["row"].append(row)
                 rows["near"].append(near)
                 rows["after"].append(1 - after)  # of two as near pages the earlier one counts
-                rows["gone"].append([] if own else gone)
+                rows["gone"].append(gone)
         yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("row", pa.string()), ("near", pa.int64()), ("after", pa.int64()), ("gone", pa.list_(pa.int32()))]))
 
 
 def template_lines(keyed: DataFrame) -> DataFrame:
-    """(row, gone): which of each page's lines its nearest page shares, for pages that lose any.
+    """(row, gone): which of each page's lines its nearest page shares, for pages with a neighbour.
 
     keyed: row (unique), url, html.  Pages are sorted by host and path over all partitions; each
     meets the next by its place, also across partitions, so the pairs don't depend on them."""
     # Written before the sort, which would else extract twice: once to sample its ranges.
-    light = cut(keyed.select("row", "url", "html").mapInArrow(_light, "row string, host string, path string, own boolean, lines array<long>"), "html-light")
+    light = cut(keyed.select("row", "url", "html").mapInArrow(_light, "row string, host string, path string, lines array<long>"), "html-light")
     ordered = cut(light.orderBy("host", "path", "row").withColumn("at", F.monotonically_increasing_id()), "html-order")
     # The last place of each partition and the first of the next: one row a partition.
     edges = sorted(tuple(r) for r in ordered.groupBy(F.shiftright("at", 33)).agg(F.min("at"), F.max("at")).collect())
     hops = [(a[2], b[1]) for a, b in zip(edges, edges[1:], strict=False)]
     hop = keyed.sparkSession.createDataFrame(hops, "last long, next long")
     left = ordered.join(F.broadcast(hop), F.col("at") == F.col("last"), "left").withColumn("to", F.coalesce("next", F.col("at") + 1)).drop("last", "next", "at")
-    right = ordered.select(F.col("at").alias("to"), F.col("host").alias("host_b"), F.col("row").alias("row_b"), F.col("path").alias("path_b"), F.col("own").alias("own_b"), F.col("lines").alias("lines_b"))
-    pairs = left.join(right, "to").filter("host = host_b").select("row", "path", "own", "lines", "row_b", "path_b", "own_b", "lines_b")
+    right = ordered.select(F.col("at").alias("to"), F.col("host").alias("host_b"), F.col("row").alias("row_b"), F.col("path").alias("path_b"), F.col("lines").alias("lines_b"))
+    pairs = left.join(right, "to").filter("host = host_b").select("row", "path", "lines", "row_b", "path_b", "lines_b")
     lost = pairs.mapInArrow(_differences, "row string, near long, after long, gone array<int>")
-    best = lost.groupBy("row").agg(F.max_by("gone", F.struct("near", "after")).alias("gone")).filter(F.size("gone") > 0)
+    best = lost.groupBy("row").agg(F.max_by("gone", F.struct("near", "after")).alias("gone"))
     return cut(best, "html-gone")
 
 
@@ -258,11 +273,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, lost in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                lines, _ = lines_of(page)
-                out = set(lost or ())
-                texts.append("\n".join(x for i, x in enumerate(lines) if i not in out))
+            texts = [own_text(marked_lines(page), lost) for page, lost in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
             release()
 

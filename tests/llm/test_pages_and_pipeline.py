@@ -57,6 +57,15 @@ def test_differencing_deletes_the_template(shipped):
     assert html_diff.extract(shipped.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_differencing_acts_beside_an_article(shipped):
+    page = lambda i: f"<nav>Menu</nav><div>Shared line</div><div>Own {i}</div><article><p>Quoted<p>Body {i}</article><footer>Foot {i}</footer>"
+    lines = html_diff.marked_lines(page(1))
+    assert lines == [("Menu", True, False), ("Shared line", False, False), ("Own 1", False, False), ("Quoted", False, True), ("Body 1", False, True), ("Foot 1", True, False)]
+    rows = [(i, f"http://h.x/a/{i}", page(i)) for i in range(5)]
+    got = html_diff.extract(shipped.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Own {i}\nQuoted\nBody {i}" for i in range(5)}
+
+
 def test_warc_round_trip(shipped):
     t = pq.read_table(f"{FOLDER}/pages.parquet").to_pylist()
     rows = [(r["page_id"], r["url"], r["html"]) for r in t] + [(1000 + i, "http://x y/é\r\n", t[i % 3]["html"]) for i in range(9)] + [(2000, None, None), (2001, "u", "")]
