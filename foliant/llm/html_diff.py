@@ -1,18 +1,21 @@
 """Main text of web pages, with nearest-URL page differencing.
 
 A page becomes text lines, one a block, navigation, adverts and footers included.  Each page is
-paired, within its host, with the page whose URL path is nearest in order; all their lines are
-aligned by longest common subsequence and the shared ones, the template's, are deleted.  Markup
+paired, within its host, with the pages whose URL paths are nearest in order, two on each side;
+all their lines are aligned by longest common subsequence, and lines shared with two of them (with
+the one, where the host has no more) are the template's and deleted.  Pages of equal lines count
+as one, so that copies don't delete each other.  Markup
 guards both sides: lines inside an article or main element are the page's own and stay, since two
 articles may quote the same passage, and lines inside navigation, headers, footers, asides, forms,
 adverts, notices and reader comments (by element, role, class or id) go although no page shares
-them.  Where a page has no neighbour, markup alone decides.
+them.  Where a page has no neighbour, or would lose every line, markup alone decides.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -23,6 +26,11 @@ from pyspark.sql import functions as F
 
 from .runtime import cut, release, ship
 
+#: Neighbours on each side, how many must share a line, and the parts of a group of copies.
+REACH = 2
+AGREE = 2
+PARTS = 64
+
 # Element names by what they mean for text.
 DROPPED = frozenset("nav footer aside form script style noscript template svg iframe object select button textarea dialog menu head title canvas audio video map math datalist".split())
 #: Dropped elements whose text no reader sees, so that it is no line.
@@ -159,7 +167,8 @@ def own_text(lines: list[tuple[str, bool, bool]], gone: list[int] | None) -> str
     if gone is None:
         return "\n".join(_by_markup(lines)[0])
     out = set(gone)
-    return "\n".join(line for i, (line, marked, landmark) in enumerate(lines) if not marked and (landmark or i not in out))
+    text = "\n".join(line for i, (line, marked, landmark) in enumerate(lines) if not marked and (landmark or i not in out))
+    return text or "\n".join(_by_markup(lines)[0])
 
 
 def shared_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -205,60 +214,55 @@ def place_of(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def _prefix(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
 def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: dict[str, list] = {"row": batch.column(0).to_pylist(), "host": [], "path": [], "lines": []}
+        rows: dict[str, list] = {"row": batch.column(0).to_pylist(), "host": [], "path": [], "same": [], "part": [], "lines": []}
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             host, path = place_of(url)
             rows["host"].append(host)
             rows["path"].append(path)
-            rows["lines"].append([xxhash.xxh64_intdigest(x) - (1 << 63) for x, _, _ in marked_lines(page)])
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("row", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64()))]))
+            lines = [xxhash.xxh64_intdigest(x) - (1 << 63) for x, _, _ in marked_lines(page)]
+            rows["lines"].append(lines)
+            rows["same"].append(xxhash.xxh64_intdigest(array("q", lines).tobytes()) - (1 << 63))
+        rows["part"] = [xxhash.xxh64_intdigest(x) % PARTS for x in rows["row"]]
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("row", pa.string()), ("host", pa.string()), ("path", pa.string()), ("same", pa.int64()), ("part", pa.int32()), ("lines", pa.list_(pa.int64()))]))
         release()
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For a page and the next of its host, what each would lose."""
+    """For two near pages of a host, what each would lose."""
     for batch in batches:
-        rows: dict[str, list] = {"row": [], "near": [], "after": [], "gone": []}
+        rows: dict[str, list] = {"place": [], "gone": []}
         for r in batch.to_pylist():
-            near = _prefix(r["path"], r["path_b"])
-            a, b = shared_lines(r["lines"], r["lines_b"])
-            for row, after, gone in ((r["row"], 1, a), (r["row_b"], 0, b)):
-                rows["row"].append(row)
-                rows["near"].append(near)
-                rows["after"].append(1 - after)  # of two as near pages the earlier one counts
-                rows["gone"].append(gone)
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("row", pa.string()), ("near", pa.int64()), ("after", pa.int64()), ("gone", pa.list_(pa.int32()))]))
+            rows["place"] += (r["place"], r["to"])
+            rows["gone"] += shared_lines(r["lines"], r["lines_b"])
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("place", pa.int64()), ("gone", pa.list_(pa.int32()))]))
 
 
 def template_lines(keyed: DataFrame) -> DataFrame:
-    """(row, gone): which of each page's lines its nearest page shares, for pages with a neighbour.
-
-    keyed: row (unique), url, html.  Pages are sorted by host and path over all partitions; each
-    meets the next by its place, also across partitions, so the pairs don't depend on them."""
-    # Written before the sort, which would else extract twice: once to sample its ranges.
-    light = cut(keyed.select("row", "url", "html").mapInArrow(_light, "row string, host string, path string, lines array<long>"), "html-light")
-    ordered = cut(light.orderBy("host", "path", "row").withColumn("at", F.monotonically_increasing_id()), "html-order")
-    # The last place of each partition and the first of the next: one row a partition.
-    edges = sorted(tuple(r) for r in ordered.groupBy(F.shiftright("at", 33)).agg(F.min("at"), F.max("at")).collect())
-    hops = [(a[2], b[1]) for a, b in zip(edges, edges[1:], strict=False)]
-    hop = keyed.sparkSession.createDataFrame(hops, "last long, next long")
-    left = ordered.join(F.broadcast(hop), F.col("at") == F.col("last"), "left").withColumn("to", F.coalesce("next", F.col("at") + 1)).drop("last", "next", "at")
-    right = ordered.select(F.col("at").alias("to"), F.col("host").alias("host_b"), F.col("row").alias("row_b"), F.col("path").alias("path_b"), F.col("lines").alias("lines_b"))
-    pairs = left.join(right, "to").filter("host = host_b").select("row", "path", "lines", "row_b", "path_b", "lines_b")
-    lost = pairs.mapInArrow(_differences, "row string, near long, after long, gone array<int>")
-    best = lost.groupBy("row").agg(F.max_by("gone", F.struct("near", "after")).alias("gone"))
-    return cut(best, "html-gone")
+    """(row, gone): which of each page's lines its near pages share, for pages with a neighbour.
+
+    keyed: row (unique), url, html.  Groups of pages with equal lines are sorted by host and path
+    over all partitions and numbered; each meets the next ones by its number, also across
+    partitions, so the pairs don't depend on them."""
+    light = cut(keyed.select("row", "url", "html").mapInArrow(_light, "row string, host string, path string, same long, part int, lines array<long>"), "html-light")
+    groups = light.filter(F.size("lines") > 0).groupBy("host", "same").agg(F.min("path").alias("path"), F.first("lines").alias("lines"), F.collect_set("part").alias("parts"))
+    # Written before the numbering, which must not be computed twice.
+    ordered = cut(groups.orderBy("host", "path", "same").withColumn("at", F.monotonically_increasing_id()), "html-order")
+    first, bases = 0, []
+    for block, n in sorted(tuple(r) for r in ordered.groupBy(F.shiftright("at", 33)).count().collect()):
+        bases.append((block, first))
+        first += n
+    base = keyed.sparkSession.createDataFrame(bases, "block long, base long")
+    placed = ordered.withColumn("block", F.shiftright("at", 33)).join(F.broadcast(base), "block").withColumn("place", F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).select("place", "host", "same", "parts", "lines")
+    left = placed.select("place", "host", "lines", F.explode(F.array(*(F.col("place") + i for i in range(1, REACH + 1)))).alias("to"))
+    right = placed.select(F.col("place").alias("to"), F.col("host").alias("host_b"), F.col("lines").alias("lines_b"))
+    lost = left.join(right, "to").filter("host = host_b").select("place", "lines", "to", "lines_b").mapInArrow(_differences, "place long, gone array<int>")
+    near = lost.groupBy("place").agg(F.collect_list("gone").alias("near"))
+    agreed = near.select("place", F.expr(f"filter(array_distinct(flatten(near)), x -> size(filter(near, y -> array_contains(y, x))) >= least({AGREE}, size(near)))").alias("gone"))
+    # A group of copies is dealt out by the parts that its rows have.
+    found = placed.select("place", "host", "same", F.col("parts")).join(agreed, "place").select("host", "same", F.explode("parts").alias("part"), "gone")
+    return cut(light.select("row", "host", "same", "part").distinct().join(found, ["host", "same", "part"]).select("row", "gone"), "html-gone")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -66,6 +66,18 @@ def test_differencing_acts_beside_an_article(shipped):
     assert {r.page_id: r.text for r in got} == {i: f"Own {i}\nQuoted\nBody {i}" for i in range(5)}
 
 
+def test_copies_and_quotes_keep_their_text(shipped):
+    page = lambda i, more="": f"<body><div>Menu line</div><div><a href=x>Linked headline {i}</a></div>{more}<div>Body {i}</div><div>Foot line</div></body>"
+    quote = "<p>Quoted by two</p>"
+    rows = [(i, f"http://h.x/a/{i}", page(i, quote if i in (2, 3) else "")) for i in range(6)]
+    rows += [(0, "http://h.x/a/0", page(0)), (10, "http://h.x/a/0?print=1", page(0)), (11, "http://h.x/mirror/0", page(0)), (12, "http://h.x/a/4b", "<div>Menu line</div><div>Foot line</div>")]
+    rows += [(20 + i, f"http://same.x/{i}", page(7)) for i in range(3)]
+    got = html_diff.extract(shipped.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = lambda i: f"Linked headline {i}\n" + ("Quoted by two\n" if i in (2, 3) else "") + f"Body {i}"
+    want = {i: text(i) for i in range(6)} | {10: text(0), 11: text(0), 12: "Menu line\nFoot line"} | {20 + i: f"Menu line\n{text(7)}\nFoot line" for i in range(3)}
+    assert len(got) == len(rows) and all((r.text, r.n_chars) == (want[r.page_id], len(r.text)) for r in got)
+
+
 def test_warc_round_trip(shipped):
     t = pq.read_table(f"{FOLDER}/pages.parquet").to_pylist()
     rows = [(r["page_id"], r["url"], r["html"]) for r in t] + [(1000 + i, "http://x y/é\r\n", t[i % 3]["html"]) for i in range(9)] + [(2000, None, None), (2001, "u", "")]
