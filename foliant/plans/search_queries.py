@@ -114,11 +114,36 @@ _EVAL = """WITH e AS (SELECT item_id AS query_id, min(doc_id) AS file FROM bench
  round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM f"""
 
 
+#: Items in a block that is broadcast at once.
+ITEMS = 10_000
+
+
+def _quoted(docs: DataFrame, items: DataFrame, size: int = ITEMS) -> DataFrame:
+    """(query_id, file) of every document that holds the text of an item; all items are met, in
+    blocks of a fixed number."""
+    out, block = None, []
+
+    def meet() -> None:
+        nonlocal out
+        part = F.broadcast(docs.sparkSession.createDataFrame(block, items.schema).withColumnRenamed("text", "item"))
+        found = docs.join(part, F.contains("text", "item")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("file"))
+        out = found if out is None else out.unionByName(found)
+        block.clear()
+
+    for row in items.toLocalIterator():
+        block.append(tuple(row))
+        if len(block) == size:
+            meet()
+    if block or out is None:
+        meet()
+    return out
+
+
 @query(_EVAL)
 def retrieval_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and MRR of a ranking of the documents that quote a benchmark item, the newest first."""
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
-    quoted = docs.join(F.broadcast(items.limit(10_000).withColumnRenamed("text", "item")), F.contains("text", "item")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("file"))
+    quoted = _quoted(docs, items.select("item_id", "text"))
     ranked = quoted.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("file"))))
     expected = quoted.groupBy("query_id").agg(F.min("file").alias("file")).withColumn("observe_only", F.lit(False))
     return activity.evaluate(ranked, expected).select("queries", *(F.round(c, 6).alias(c) for c in ("recall_1", "recall_3", "recall_5", "mrr")))
