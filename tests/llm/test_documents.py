@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and on awkward rows."""
 
+import base64
 import hashlib
 import math
 import re
@@ -236,6 +237,21 @@ def test_quality_bands(shipped):
     assert got == {1: False, 2: False}
 
 
+def test_quality_finds_a_bad_stretch_anywhere(rows):
+    compressor = quality.zstandard.ZstdCompressor(level=quality.LEVEL)
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{FOLDER}/labels.parquet").to_pylist()}
+    prose = " ".join(r["text"] for r in rows if labels.get(r["doc_id"]) == 1).encode()
+    rng = np.random.default_rng(1)
+    noise = rng.integers(33, 127, 30_000).astype(np.uint8).tobytes()
+    coded = base64.b64encode(rng.bytes(30_000))
+    for good, bad in ((4096, 3900), (1950, 1950), (12_288, 4096), (20_480, 20_480), (40_000, 1600), (500, 400), (240, 260)):
+        assert quality.in_band(prose[: good + bad], compressor)[0]
+        for junk in (noise, coded):
+            assert not quality.in_band(prose[:good] + junk[:bad], compressor)[0], (good, bad)
+            assert not quality.in_band(junk[:bad] + prose[:good], compressor)[0], (good, bad)
+            assert not quality.in_band(prose[: good // 2] + junk[:bad] + prose[good // 2 : good], compressor)[0], (good, bad)
+
+
 def test_languages(docs, rows):
     got = {r.doc_id: r for r in langid.identify(docs, langid.learn(docs)).collect()}
     held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
