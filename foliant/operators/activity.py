@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 
@@ -60,8 +60,9 @@ def evaluate(ranked: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (1, 3
     return every.agg(F.count("*").alias("queries"), *recall, F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
-def upper_median(df: DataFrame, column: str) -> DataFrame:
-    """(least, median, largest) with the upper of two middle values, by order statistic."""
+def upper_median(df: DataFrame | GroupedData, column: str) -> DataFrame:
+    """(least, median, largest) with the upper of two middle values, by order statistic; of each
+    group, where df is grouped."""
     return df.agg(F.min(column).alias("least"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)").alias("median"), F.max(column).alias("largest"))
 
 

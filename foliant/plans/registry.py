@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-MODULES = ("search_queries", "table_queries", "store_queries", "stream_queries", "document_queries")
+MODULES = ("search_queries", "table_queries", "store_queries", "stream_queries", "document_queries", "whole_queries")
 
 
 def _load() -> None:
