@@ -35,8 +35,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
-    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents in which a window of a benchmark item occurs go, of items without an id as well."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.remove(docs, items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,6 +120,12 @@ def test_pipeline_on_awkward_rows(odd, none, shipped, tmp_path):
             assert docs.count() == 0
 
 
+def test_pipeline_searches_items_without_an_id(shipped, tmp_path):
+    shipped.createDataFrame([(None, "quoted words of an item"), (1, "other words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = shipped.createDataFrame([(1, "a text with quoted words of an item inside"), (2, "a clean text"), (3, "some other words")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(shipped, docs, str(tmp_path)).collect()] == [2]
+
+
 def test_pipeline_keeps_one_of_each_group(shipped):
     got = corpus_pipeline.run(shipped, FOLDER)
     ids = [r.doc_id for r in got.select("doc_id").collect()]
