@@ -14,7 +14,8 @@ from foliant.llm.runtime import cut
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go: null, no letter, or like no prototype."""
+    """Documents without an identifiable language go: in practice those that are null or
+    have no letter, since with no limit but 0 nearly any text with a letter is like some prototype."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 
