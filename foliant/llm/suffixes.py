@@ -29,30 +29,77 @@ def pack(code: np.ndarray, start: np.ndarray, length: np.ndarray, bits: int, dep
     return out
 
 
+def rolling(code: np.ndarray, per: int, bits: int) -> np.ndarray:
+    """The number of the ``per`` codes from each place on; codes past the end count as 0."""
+    have, width = code, 1
+    done = np.zeros(len(code), U64)
+    got, left = 0, per
+    while left:  # by doubling: numbers of 1, 2, 4 ... codes make up those of per codes
+        if left & 1:
+            moved = np.zeros(len(code), U64)
+            moved[: len(code) - got] = have[got:]
+            done = (done << U64(bits * width)) | moved
+            got += width
+        left >>= 1
+        if left:
+            wider = have << U64(bits * width)
+            wider[: len(code) - width] |= have[width:]
+            have, width = wider, 2 * width
+    return done
+
+
+def rolling_rows(code: np.ndarray, per: int, bits: int) -> np.ndarray:
+    """The number of each row of codes, whose missing columns count as 0."""
+    out = np.zeros(len(code), U64)
+    for i in range(per):
+        out <<= U64(bits)
+        if i < code.shape[1]:
+            out |= code[:, i].astype(U64)
+    return out
+
+
 def order_of(keys: list[np.ndarray]) -> np.ndarray:
-    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    """By the first number; suffixes that agree in it are ordered by the next ones."""
+    if len(keys) == 1:
+        return np.argsort(keys[0], kind="stable")
+    order = np.argsort(keys[0])
+    first = keys[0][order]
+    same = np.zeros(len(order) + 1, np.bool_)
+    same[1:-1] = first[1:] == first[:-1]
+    tied = np.flatnonzero(same[1:] | same[:-1])
+    rows = order[tied]
+    order[tied] = rows[np.lexsort([*(k[rows] for k in keys[:0:-1]), first[tied]])]
+    return order
+
+
+def _bisect(key: np.ndarray, value: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
+    """Binary search of each value inside its own ascending range [low, high) of key."""
+    low, high = low.copy(), high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        middle = (low[live] + high[live]) >> 1
+        found = key[middle]
+        up = found <= value[live] if right else found < value[live]
+        low[live[up]] = middle[up] + 1
+        high[live[~up]] = middle[~up]
+        live = live[low[live] < high[live]]
+    return low
 
 
 def lookup(keys: list[np.ndarray], wanted: list[np.ndarray], lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """For each wanted run of ``lengths`` codes, the range [low, high) of the suffix array whose
     suffixes start with it, by binary search one number at a time."""
-    n, per = len(keys[0]), per_number(bits)
-    low, high = np.zeros(len(lengths), np.int64), np.full(len(lengths), n, np.int64)
-    ranked = np.zeros(n, np.int64)
+    per = per_number(bits)
+    low, high = np.zeros(len(lengths), np.int64), np.full(len(lengths), len(keys[0]), np.int64)
     for level, key in enumerate(keys):
-        # (rank of the numbers before, this number) ascends along the array.
-        values, rank = np.unique(key, return_inverse=True)
-        joint = ranked * (len(values) + 1) + rank
         here = np.clip(lengths - level * per, 0, per)
-        gap = ((per - here) * bits).astype(U64)
-        highest = wanted[level] | ((U64(1) << gap) - U64(1))
-        active = (here > 0) & (high > low)
-        base = np.where(active, ranked[np.minimum(low, n - 1)], 0) * (len(values) + 1)
-        low = np.where(active, np.searchsorted(joint, base + np.searchsorted(values, wanted[level], "left")), low)
-        high = np.where(active, np.searchsorted(joint, base + np.searchsorted(values, highest, "right")), high)
-        ranked = np.zeros(n, np.int64)
-        ranked[1:] = joint[1:] != joint[:-1]
-        ranked = np.cumsum(ranked)
+        active = np.flatnonzero((here > 0) & (high > low))
+        least = wanted[level][active]
+        most = least | ((U64(1) << ((per - here[active]) * bits).astype(U64)) - U64(1))
+        if level:
+            low[active], high[active] = _bisect(key, least, low[active], high[active], False), _bisect(key, most, low[active], high[active], True)
+        else:
+            low[active], high[active] = np.searchsorted(key, least, "left"), np.searchsorted(key, most, "right")
     return low, high
 
 
