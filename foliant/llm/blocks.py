@@ -151,13 +151,11 @@ def buckets_for(total_bytes: int, keys_per_byte: float, keys_each: int = 1_500_0
 
 
 def cells(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
-    """The slices of sorted keys that fall in each bucket of the hash space."""
-    step = (1 << 64) // n_buckets + 1
-    limits = np.array([min(b * step, 2**64 - 1) for b in range(1, n_buckets)], U64)
-    at = [0, *np.searchsorted(keys, limits, "left").tolist(), len(keys)]
-    for b in range(n_buckets):
-        if at[b] < at[b + 1]:
-            yield b, slice(at[b], at[b + 1])
+    """The slices of sorted keys that fall in each occupied bucket of the hash space."""
+    bucket = keys // U64(-(-(1 << 64) // n_buckets)) if n_buckets > 1 else np.zeros(len(keys), U64)
+    first = runs(bucket)
+    for b, lo, hi in zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=False):
+        yield b, slice(lo, hi)
 
 
 def rows(block: int, out: list[tuple[int, bytes]]) -> pa.RecordBatch:

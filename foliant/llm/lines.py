@@ -2,28 +2,29 @@
 
 A line is known by its words, A-Z lower-cased, joined by one space; lines without a word stay.
 Signatures are minima of 48 permutations over 7-character shingles, cut into 12 bands of 4 rows:
-a pair at Jaccard 0.8 shares a band with chance 0.998, at 0.9 with chance 1 - 6e-6.  Blocks ask
-the hash buckets which band keys are shared at all, and only lines with a shared key go on, each
-once with its text.  Pairs under a key are verified by exact Jaccard on the shingle sets; a
-crowded key is searched in tiles that emit spanning trees.  Union-find over the verified pairs
-then keeps the first occurrence (doc_id, line number) of each component.
+a pair at Jaccard 0.8 shares a band with chance 0.998, at 0.9 with chance 1 - 2.7e-6.
+
+Equal lines are one line from the start: hash buckets of the lines' own hashes find where each
+occurs first.  Buckets of the band keys pass on only keys that two different lines share, and such
+a line's text is fetched once.  Pairs under a key are verified by exact Jaccard on the shingle
+sets; a crowded key is searched in tiles that emit spanning trees.  Union-find over the verified
+pairs then keeps the first occurrence (doc_id, line number) of each component.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, answer, ask, bits, blocks_of, buckets_for, cells, expand, from_bits, meet, merged, pack_sorted, squeeze, unpack_sorted
+from .blocks import ROW, ROW_ARROW, TEXT, Block, ask, blocks_of, buckets_for, cells, expand, from_planes, pack_sorted, planes, squeeze, unpack_sorted
 from .components import components
-from .runtime import cut, discard, release, ship
+from .runtime import cut, discard, free_name, release, ship
 from .textcodes import U64, mix, runs, window_hashes
 
 SHINGLE = 7
@@ -37,6 +38,8 @@ TILE = 512
 SLICE = 1 << 16
 #: Pairs verified at once.
 PAIRS = 2048
+#: A-Z lower-cased, and white space other than the newline as a space.
+PLAIN = bytes.maketrans(bytes(range(65, 91)) + b"\t\x0b\x0c\r", bytes(range(97, 123)) + b"    ")
 _rng = np.random.Generator(np.random.PCG64(0x11E5))
 MULTIPLY = (_rng.integers(0, 1 << 31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
 ADD = _rng.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
@@ -59,7 +62,7 @@ def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(lines: list[bytes]) -> np.ndarray:
     """(lines, BANDS) keys."""
-    out = np.empty((len(lines), BANDS), U64)
+    least = np.empty((BANDS * ROWS, len(lines)), np.uint32)
     lo = 0
     while lo < len(lines):
         hi, size = lo, 0
@@ -70,15 +73,15 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
         hashes = (hashes >> U64(32)).astype(np.uint32)
         start = np.cumsum(count) - count
         permuted = np.empty_like(hashes)
-        for b in range(BANDS):
-            key = np.full(hi - lo, b + 1, U64)
-            for r in range(b * ROWS, (b + 1) * ROWS):
-                np.multiply(hashes, MULTIPLY[r], out=permuted)
-                permuted += ADD[r]
-                key = mix(key + np.minimum.reduceat(permuted, start).astype(U64))
-            out[lo:hi, b] = key
+        for r in range(BANDS * ROWS):
+            np.multiply(hashes, MULTIPLY[r], out=permuted)
+            permuted += ADD[r]
+            np.minimum.reduceat(permuted, start, out=least[r, lo:hi])
         lo = hi
-    return out
+    key = np.repeat(np.arange(1, BANDS + 1, dtype=U64)[:, None], len(lines), axis=1)
+    for r in range(ROWS):
+        key = mix(key + least[r::ROWS])
+    return key.T
 
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
@@ -154,89 +157,175 @@ class Lines:
 
     def __init__(self, block: Block):
         data = bytes(block.data)
+        plain = data.translate(PLAIN)
         offsets = block.offsets.tolist()
         index: dict[bytes, int] = {}
         self.raw: list[list[bytes]] = []
         self.which: list[list[int]] = []
         self.first: list[tuple[int, int]] = []
-        for d, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            doc_id = int(block.ids[d])
-            raw = data[lo : hi - 1].split(b"\n")
+        for doc_id, lo, hi in zip(block.ids.tolist(), offsets[:-1], offsets[1:], strict=True):
             which = []
-            for number, line in enumerate(raw):
-                words = line.lower().split()
-                if not words:
+            for number, line in enumerate(plain[lo : hi - 1].split(b"\n")):
+                if b"  " in line or line[:1] == b" " or line[-1:] == b" ":
+                    line = b" ".join(line.split())
+                if not line:
                     which.append(-1)
                     continue
-                i = index.setdefault(b" ".join(words), len(index))
+                i = index.setdefault(line, len(index))
                 if i == len(self.first):
                     self.first.append((doc_id, number))
                 elif (doc_id, number) < self.first[i]:
                     self.first[i] = (doc_id, number)
                 which.append(i)
-            self.raw.append(raw)
+            self.raw.append(data[lo : hi - 1].split(b"\n"))
             self.which.append(which)
         self.distinct = list(index)
 
     def names(self) -> np.ndarray:
+        """The hash by which a line is known in all blocks."""
         digest = xxhash.xxh3_64_intdigest
-        return np.fromiter((digest(x) for x in self.distinct), U64, len(self.distinct)).view(np.int64)
+        return np.fromiter((digest(x) for x in self.distinct), U64, len(self.distinct))
 
 
-CANDIDATES = "key long, line long, block long, doc_id long, number long, text string"
-_CANDIDATES = pa.schema([("key", pa.int64()), ("line", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("number", pa.int64()), ("text", pa.string())])
+def bucket_of(name: str, n_buckets: int) -> Column:
+    """The bucket in which :func:`cells` puts a hash; n_buckets is a power of two."""
+    return F.shiftrightunsigned(F.col(name), 64 - (n_buckets.bit_length() - 1)).cast("int")
 
 
-def _candidates(table: DataFrame, size: int) -> DataFrame:
-    """Rows (key, line) for shared band keys, and with a null key the lines that have one."""
-    n_buckets = buckets_for(size, 0.04)
+def _ask_names(table: DataFrame, n_buckets: int) -> DataFrame:
+    """For each block and bucket, the block's lines and where each occurs first in it."""
 
-    def sorted_keys(block: Block) -> tuple[Lines, np.ndarray, np.ndarray, np.ndarray]:
+    def requests(block: Block) -> list[tuple[int, bytes]]:
         lines = Lines(block)
-        keys = band_keys(lines.distinct).ravel()
-        order = np.argsort(keys, kind="stable")
-        return lines, keys, order, runs(keys[order])
+        names = lines.names()
+        order = np.argsort(names, kind="stable")
+        names, first = names[order], np.array(lines.first, np.int64).reshape(-1, 2)[order]
+        return [(b, squeeze(pack_sorted(names[s]), planes(first[s, 0].view(U64)), planes(first[s, 1].view(U64)))) for b, s in cells(names, n_buckets)]
+
+    return ask(table, requests)
+
+
+def _occurrences(group: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes of the blocks' parts, and of all their lines: name, doc_id, number) of a bucket."""
+    parts = [expand(x) for x in group.column("payload").to_pylist()]
+    names = [unpack_sorted(p[0]) for p in parts]
+    every = [np.concatenate(x) if x else np.zeros(0, U64) for x in (names, [from_planes(p[1], U64) for p in parts], [from_planes(p[2], U64) for p in parts])]
+    return [len(x) for x in names], every[0], every[1].view(np.int64), every[2].view(np.int64)
+
+
+def _first_of(names: np.ndarray, doc_id: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct names, index of the least (doc_id, number) of each)."""
+    order = np.lexsort((number, doc_id, names))
+    first = runs(names[order])
+    return names[order[first]], order[first]
+
+
+SHARED = "key long, line long, block long"
+
+
+def _shared_keys(table: DataFrame, size: int) -> DataFrame:
+    """(key, line, block) of band keys that two different lines have; block is one that has the line."""
+    n_buckets = buckets_for(size, 0.04, 1_000_000)
 
     def requests(block: Block) -> list[tuple[int, bytes]]:
-        _, keys, order, first = sorted_keys(block)
-        unique = keys[order][first]
-        several = np.diff(np.concatenate((first, [len(order)]))) > 1
-        return [(b, squeeze(pack_sorted(unique[s]), bits(several[s]))) for b, s in cells(unique, n_buckets)]
-
-    def merge(asked: list[bytes]) -> tuple[list[bytes], int, int]:
-        parts = [expand(x) for x in asked]
-        keys = [unpack_sorted(p[0]) for p in parts]
-        several = np.concatenate([from_bits(p[1], len(k)) for p, k in zip(parts, keys, strict=True)])
-        order, number, first = merged(keys)
-        shared = (np.diff(np.concatenate((first, [len(order)]))) > 1) | np.logical_or.reduceat(several[order], first)
-        flags = np.empty(len(order), np.bool_)
-        flags[order] = shared[number]
-        ends = np.cumsum([len(k) for k in keys])
-        return [bits(flags[lo:hi]) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)], 0, 0
-
-    def select(block: Block, got: dict[int, bytes], number: int) -> pa.Table:
-        lines, keys, order, first = sorted_keys(block)
-        if not len(keys):
-            return _CANDIDATES.empty_table()
-        unique = keys[order][first]
-        marked = np.concatenate([from_bits(got[b], s.stop - s.start) for b, s in cells(unique, n_buckets)])
-        flags = np.empty(len(keys), np.bool_)
-        flags[order] = np.repeat(marked, np.diff(np.concatenate((first, [len(order)]))))
-        names = lines.names()
-        at = np.flatnonzero(flags)
-        with_key = np.unique(at // BANDS)
-        n, m = len(at), len(with_key)
-        firsts = [lines.first[i] for i in with_key.tolist()]
-        nothing = pa.nulls(n, pa.int64())
-        band_rows = pa.Table.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(names[at // BANDS]), nothing, nothing, nothing, pa.nulls(n, pa.string())], schema=_CANDIDATES)
-        line_rows = pa.Table.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.array(names[with_key]), pa.array([number] * m, pa.int64()), pa.array([d for d, _ in firsts], pa.int64()), pa.array([k for _, k in firsts], pa.int64()), pa.array([lines.distinct[i].decode() for i in with_key.tolist()], pa.string())],
-            schema=_CANDIDATES,
-        )
-        return pa.concat_tables([band_rows, line_rows])
-
-    answers = answer(ask(table, requests), merge)
-    return cut(meet(table, answers, select, CANDIDATES), "lines-candidates")
+        lines = Lines(block)
+        keys, names = band_keys(lines.distinct).ravel(), np.repeat(lines.names(), BANDS)
+        order = np.argsort(keys)
+        keys, names = keys[order], names[order]
+        return [(b, squeeze(pack_sorted(keys[s]), names[s].tobytes())) for b, s in cells(keys, n_buckets)]
+
+    def shared(group: pa.Table) -> pa.Table:
+        parts = [expand(x) for x in group.column("payload").to_pylist()]
+        sizes = [len(p[1]) // 8 for p in parts]
+        keys, names = np.concatenate([unpack_sorted(p[0]) for p in parts]), np.concatenate([np.frombuffer(p[1], U64) for p in parts])
+        block = np.repeat(group.column("block").to_numpy(), sizes)
+        order = np.argsort(keys)
+        first = runs(keys[order])
+        size = np.diff(np.concatenate((first, [len(order)])))
+        several = order[np.repeat(size > 1, size)]  # the rest is the most
+        keys, names, block = keys[several], names[several], block[several]
+        order = np.lexsort((block, names, keys))
+        keys, names, block = keys[order], names[order], block[order]
+        new_key = np.ones(len(keys), np.bool_)
+        new_key[1:] = keys[1:] != keys[:-1]
+        new = new_key.copy()
+        new[1:] |= names[1:] != names[:-1]
+        keys, names, block = keys[new], names[new], block[new]
+        first = np.flatnonzero(new_key[new])
+        size = np.diff(np.concatenate((first, [len(keys)])))
+        stay = np.repeat(size > 1, size)
+        out = pa.table({"key": keys[stay].view(np.int64), "line": names[stay].view(np.int64), "block": block[stay]})
+        release()
+        return out
+
+    return cut(ask(table, requests).groupBy("bucket").applyInArrow(shared, SHARED), "lines-bands")
+
+
+def _fetch(table: DataFrame, needed: DataFrame) -> DataFrame:
+    """(line, text) of the lines that needed (line, block) names."""
+
+    def texts(mine: pa.Table, wanted: pa.Table) -> pa.Table:
+        line, text = [], []
+        if wanted.num_rows:
+            lines = Lines(Block(mine.column("payload")[0].as_py()))
+            where = {n: i for i, n in enumerate(lines.names().view(np.int64).tolist())}
+            line = wanted.column("line").to_pylist()
+            text = [lines.distinct[where[n]].decode() for n in line]
+        out = pa.table({"line": pa.array(line, pa.int64()), "text": pa.array(text, pa.string())})
+        release()
+        return out
+
+    return table.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(texts, "line long, text string")
+
+
+def _keepers(named: DataFrame, member: DataFrame, n_buckets: int) -> DataFrame:
+    """(line, doc_id, number): for each line of member (node, component), where the first line of
+    its component occurs first."""
+
+    def firsts(group: pa.Table, members: pa.Table) -> pa.Table:
+        line, component = (members.column(c).to_numpy().astype(np.int64) for c in ("node", "component"))
+        doc_id = number = np.zeros(0, np.int64)
+        if len(line):
+            _, names, doc_id, number = _occurrences(group)
+            mine = np.flatnonzero(np.isin(names, line.view(U64)))
+            names, at = _first_of(names[mine], doc_id[mine], number[mine])
+            at = mine[at][np.searchsorted(names, line.view(U64))]
+            doc_id, number = doc_id[at], number[at]
+        out = pa.table({"line": line, "component": component, "doc_id": doc_id, "number": number})
+        release()
+        return out
+
+    members = member.withColumn("bucket", bucket_of("node", n_buckets))
+    first = cut(named.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInArrow(firsts, "line long, component long, doc_id long, number long"), "lines-firsts")
+    keeper = first.groupBy("component").agg(F.min(F.struct("doc_id", "number")).alias("keeper"))
+    return cut(first.select("line", "component").join(keeper, "component").select("line", "keeper.doc_id", "keeper.number"), "lines-keepers")
+
+
+def _answers(named: DataFrame, keepers: DataFrame, n_buckets: int) -> DataFrame:
+    """For each block and bucket, the keeper of each of the block's lines, in the order of their names."""
+
+    def answer(group: pa.Table, kept: pa.Table) -> pa.Table:
+        out = []
+        if group.num_rows:
+            sizes, names, doc_id, number = _occurrences(group)
+            distinct, at = _first_of(names, doc_id, number)
+            best = np.stack((doc_id[at], number[at]))
+            line = kept.column("line").to_numpy().astype(np.int64).view(U64)
+            place = np.searchsorted(distinct, line)
+            best[0, place], best[1, place] = kept.column("doc_id").to_numpy(), kept.column("number").to_numpy()
+            place = np.searchsorted(distinct, names)
+            other = (best[0, place] != doc_id) | (best[1, place] != number)
+            lo = 0
+            for n in sizes:  # only keepers that lie elsewhere travel
+                mine = other[lo : lo + n]
+                changed = place[lo : lo + n][mine]
+                out.append(squeeze(np.packbits(mine).tobytes(), planes(best[0, changed].view(U64)), planes(best[1, changed].view(U64))))
+                lo += n
+        table = pa.Table.from_arrays([group.column("block"), group.column("bucket"), pa.array(out, pa.binary())], schema=ROW_ARROW)
+        release()
+        return table
+
+    return named.groupBy("bucket").cogroup(keepers.withColumn("bucket", bucket_of("line", n_buckets)).groupBy("bucket")).applyInArrow(answer, ROW)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,46 +398,50 @@ def similar_lines(bands: DataFrame, lines: DataFrame, similarity: float, crowd:
     return links.unionByName(dense)
 
 
+RESULTS = ("n_lines", "n_removed", "kept_sha256")
+
+
 def deduplicate(docs: DataFrame, *, similarity: float = SIMILARITY, crowd: int = CROWD, tile: int = TILE) -> DataFrame:
     """Keep one line of each component of similar lines.
 
     Input: doc_id, text and any other columns, which stay.  Result: the same columns with ``text``
-    less its removed lines, and n_lines, n_removed, kept_sha256.  A null text stays null and
-    counts no lines, an empty one has one line without words, which stays.  Rows that repeat a
+    less its removed lines, then n_lines, n_removed, kept_sha256; where docs has a column of that
+    name (in any case), it stays and the new one gets an underscore more.  A null text stays null
+    and counts no lines, an empty one has one line without words, which stays.  Rows that repeat a
     doc_id count as one text's rows: a line they share at one number stays in each.  A null
-    doc_id is the smallest."""
+    doc_id is the smallest.  An empty table gives no rows."""
     spark = docs.sparkSession
     ship(spark)
-    reserved = {"n_lines", "n_removed", "kept_sha256"}
-    carry = tuple(c for c in docs.columns if c not in {"text", *reserved})
-    docs = docs.select(*carry, F.col("text").cast("string").alias("text"))
-    table, size = blocks_of(docs.withColumn("_null", F.col("text").isNull()), label="lines", carry=(*carry, "_null"))
-    candidates = _candidates(table, size)
-    occurrences = candidates.filter("key IS NULL").select("line", "block", "doc_id", "number", "text")
-    lines = cut(occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.min("text").alias("text")), "lines-distinct")
-    bands = cut(candidates.filter("key IS NOT NULL").select("key", "line").distinct(), "lines-bands")
-    links = similar_lines(bands, lines, similarity, crowd, tile)
+    carry = [c for c in docs.columns if c != "text"]
+    results = [free_name(c, docs.columns) for c in RESULTS]
+    null = free_name("null", docs.columns)
+    given = docs.select(*(F.col(f"`{c}`") for c in carry), F.col("text").cast("string").alias("text"), F.col("text").isNull().alias(null))
+    table, size = blocks_of(given, label="lines", carry=(*carry, null))
+    n_names = buckets_for(size, 0.004, 1_000_000)
+    named = cut(_ask_names(table, n_names), "lines-names")
+    bands = _shared_keys(table, size)
+    lines = cut(_fetch(table, bands.select("line", "block").distinct()), "lines-distinct")
+    links = similar_lines(bands.select("key", "line"), lines, similarity, crowd, tile)
     member = components(links, "a", "b", "lines")
-    discard(bands)
-    named = cut(lines.select("line", "first").join(member.withColumnRenamed("node", "line"), "line", "left").select("line", "first", F.coalesce("component", "line").alias("component")), "lines-member")
-    keeper = cut(named.groupBy("component").agg(F.min("first").alias("keeper")), "lines-keeper")
-    keepers = cut(named.join(keeper, "component").select("line", F.col("keeper.doc_id").alias("doc_id"), F.col("keeper.number").alias("number")), "lines-keepers")
-    pack_long = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    answers = occurrences.select("block", "line").join(keepers, "line").select("block", F.lit(0).alias("bucket"), F.concat(pack_long("line"), pack_long("doc_id"), pack_long("number")).alias("payload"))
+    keepers = _keepers(named, member, n_names)
+    answers = _answers(named, keepers, n_names)
+    discard(bands, lines)
 
-    names = [*carry, "text", "n_lines", "n_removed", "kept_sha256"]
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"n_lines": "bigint", "n_removed": "bigint", "kept_sha256": "string"}
+    names = [*carry, "text", *results]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"text": "string"} | dict(zip(results, ("bigint", "bigint", "string"), strict=True))
 
     def finish(group: pa.Table) -> pa.Table:
-        block, keep = None, {}
-        for bucket, payload in zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True):
-            if bucket < 0:
-                block = Block(payload)
-            else:
-                line, doc_id, number = struct.unpack(">qqq", payload)
-                keep[line] = (doc_id, number)
+        got = dict(zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True))
+        block = Block(got.pop(TEXT))
         found = Lines(block)
-        keepers = [keep.get(n, first) for n, first in zip(found.names().tolist(), found.first, strict=True)]
+        name = found.names()
+        order = np.argsort(name, kind="stable")
+        keepers = list(found.first)
+        for b, s in cells(name[order], n_names):
+            other, doc_id, number = expand(got[b])
+            mine = order[s][np.unpackbits(np.frombuffer(other, np.uint8), count=s.stop - s.start).view(np.bool_)]
+            for i, d, k in zip(mine.tolist(), from_planes(doc_id, U64).view(np.int64).tolist(), from_planes(number, U64).tolist(), strict=True):
+                keepers[i] = (d, k)
         carried = block.carried()
         nulls = carried.column(len(carry)).to_pylist()
         texts, n_lines, n_removed, digests = [], [], [], []
@@ -365,4 +458,4 @@ def deduplicate(docs: DataFrame, *, similarity: float = SIMILARITY, crowd: int =
         return pa.Table.from_arrays(out, names=names)
 
     rows = table.unionByName(answers).groupBy("block").applyInArrow(finish, ", ".join(f"`{n}` {types[n]}" for n in names))
-    return rows.select(*(F.col(f"`{c}`") for c in (*docs.columns, "n_lines", "n_removed", "kept_sha256")))
+    return rows.select(*(F.col(f"`{c}`") for c in (*docs.columns, *results)))

@@ -2,7 +2,8 @@
 
 Long jobs cut their lineage by writing a table below the folder named by
 ``spark.checkpoint.dir`` and reading it back, so a lost executor costs a re-read and not a
-re-run.  Nothing here uses a machine-local folder unless that setting is absent.
+re-run.  Nothing here uses a machine-local folder unless that setting is absent.  Shuffle files of
+a written table go at once; its own files go when :func:`scratch` ends or :func:`discard` is called.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,13 +46,54 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/foliant/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths that cut has written, for the innermost :func:`scratch`.
+_SCRATCH: list[list[str]] = []
+#: Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _cleaning(df.sparkSession):
+        df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that :func:`cut` wrote inside.  What leaves it must have been
+    written elsewhere before, for instance by :func:`settle`."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_path(spark, path)
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """As :func:`cut`, for a table that outlives the scratch it is made in."""
+    held = _SCRATCH[:]
+    _SCRATCH.clear()
+    try:
+        return cut(df, label)
+    finally:
+        _SCRATCH[:] = held
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table whose readers are done."""
     jvm = spark.sparkContext._jvm
@@ -72,5 +116,13 @@ def release() -> None:
 
 
 def spread(amount: int, each: int) -> int:
-    """Number of buckets for ``amount`` units at ``each`` units a bucket, at least 16."""
-    return int(max(16, -(-int(amount or 0) // each)))
+    """Number of buckets for ``amount`` units at ``each`` units a bucket: a power of two, at least 16."""
+    return 1 << max(4, (-(-int(amount or 0) // each) - 1).bit_length())
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores as it takes to clash with no column."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
