@@ -9,8 +9,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from itertools import chain, count, groupby
 from xml.etree import ElementTree
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.functions.values import column_name, parse_range, range_text
@@ -225,7 +227,7 @@ def find_regions(cells: Grid, merges: list[Rect]) -> list[Rect]:
             if changed:
                 break
     for single in sorted(b for b in boxes if b[0] == b[2] and b[1] == b[3]):
-        below = [b for b in boxes if b != single and b[0] - single[0] in (2, 3) and b[1] <= single[1] <= b[3] and (b[2] > b[0] or b[3] > b[1])]
+        below = [b for b in boxes if b != single and b[0] - single[0] in (1, 2) and b[1] <= single[1] <= b[3] and (b[2] > b[0] or b[3] > b[1])]
         if below:
             near = min(below)
             boxes.remove(single)
@@ -240,59 +242,68 @@ class Header:
     n_rows: int
 
 
-def _row_stats(row: list[SheetCell | None]) -> tuple[int, float, float, bool]:
-    """(filled, share of text, share of numbers and dates, mostly emphasized)."""
-    full = [c for c in row if c]
-    n = len(full) or 1
-    return len(full), sum(c.kind == "text" for c in full) / n, sum(c.kind in ("number", "date") for c in full) / n, sum(c.strong for c in full) * 2 > len(full)
+def _row_letters(rows: list[list[SheetCell | None]], top: int, left: int, merges: list[Rect]) -> str:
+    """A letter for each row: ``_`` blank, ``W`` a lone merge at least half as wide as the box with
+    ``w`` for the rows it covers, ``L`` a lone cell above a blank row in a box of three columns or
+    more, ``x`` anything else."""
+    spans = {(m[0] - top, m[1] - left): (m[2] - m[0] + 1, m[3] - m[1] + 1) for m in merges}
+    filled = [[i for i, c in enumerate(r) if c] for r in rows]
+    letters = ["x" if f else "_" for f in filled]
+    for i, f in enumerate(filled):
+        if len(f) != 1 or letters[i] == "w":
+            continue
+        height, width = spans.get((i, f[0]), (1, 0))
+        if 2 * width >= len(rows[i]):
+            letters[i : i + height] = ["W", *"w" * (min(height, len(rows) - i) - 1)]
+        elif not width and len(rows[i]) > 2 and i + 1 < len(rows) and not filled[i + 1]:
+            letters[i] = "L"
+    return "".join(letters)
+
+
+def _banner(letters: str) -> tuple[int, list[int]]:
+    """(rows of the banner, those with its captions), read off the letters: wide merges and lone
+    cells, with blank rows between and after them, that begin in the first rows."""
+    end, captions = 0, []
+    for m in re.finditer("[WL]w*|_", letters):
+        fits = m.start() == end < min(MOST_BANNER, len(letters) - 1) and m.end() <= 2 * MOST_BANNER
+        if not fits or (m[0] == "_" and not end):
+            break
+        end = m.end()
+        captions += [m.start()] * (m[0] != "_")
+    return min(end, len(letters) - 1), captions
+
+
+def _header_rows(rows: list[list[SheetCell | None]], tops: set[int]) -> int:
+    """How many of the rows are a header.
+
+    Columns of row statistics decide at once for every possible number of rows: all rows above
+    the split are mostly text, the row below is less so or mostly numbers, and several rows are
+    levels only with a merge (``tops``: rows that hold one) or with fewer cells at the top."""
+    full = [[c for c in r if c] for r in rows]
+    size = np.array([len(f) for f in full])
+    share = lambda holds: np.array([sum(map(holds, f)) for f in full]) / np.maximum(size, 1)
+    text, number = share(lambda c: c.kind == "text"), share(lambda c: c.kind in ("number", "date"))
+    strong = share(lambda c: c.strong) > 0.5
+    worded = np.logical_and.accumulate((size > 0) & (text >= np.where(strong, EMPHASIZED_SHARE, TEXT_SHARE)))
+    if len(rows) < 2 or not worded[0]:
+        return 0
+    turns = (text[1:] < text[:-1]) | (number[1:] > 0.5)
+    merged = np.logical_or.accumulate([i in tops for i in range(len(rows))])
+    levels = merged | ((size[0] >= 2) & (size[0] < size))
+    levels[0] = True
+    split = np.flatnonzero((worded[:-1] & turns & levels[:-1])[:MOST_HEADER])
+    return int(split[0]) + 1 if len(split) else int(strong[0] and not strong[1])
 
 
 def detect_header(cells: Grid, box: Rect, merges: list[Rect]) -> Header:
-    """Banner rows (a lone wide merge, or a lone cell above a blank row), then up to four rows of
-    mostly text above a row that is clearly less so."""
+    """The banner and header rows at the top of a box."""
     top, left, bottom, right = box
-    width, total = right - left + 1, bottom - top + 1
     rows = [[cells.get((r, c)) for c in range(left, right + 1)] for r in range(top, min(bottom, top + WINDOW - 1) + 1)]
-    anchors = {(m[0], m[1]): m for m in merges}
-    banner, captions = 0, []
-    while banner < MOST_BANNER and banner + 1 < len(rows):
-        full = [i for i, c in enumerate(rows[banner]) if c]
-        if not full and banner:
-            banner += 1
-            continue
-        if len(full) != 1:
-            break
-        m = anchors.get((top + banner, left + full[0]))
-        if m:
-            height = m[2] - m[0] + 1
-            if (m[3] - m[1] + 1) * 2 < width or banner + height > 2 * MOST_BANNER:
-                break
-        else:
-            height = 1
-            if width < 3 or any(rows[banner + 1]):
-                break
-        captions.append(clean(rows[banner][full[0]].text))
-        banner += height
-    banner = min(banner, len(rows) - 1)
-    caption = " ".join(captions) or None
-    stats = [_row_stats(r) for r in rows[banner : banner + MOST_HEADER + 1]]
-    like = 0
-    for n, text, _, strong in stats[:MOST_HEADER]:
-        if not n or text < (EMPHASIZED_SHARE if strong else TEXT_SHARE):
-            break
-        like += 1
-    for k in range(1, like + 1):
-        if banner + k >= total or k >= len(stats):
-            break
-        if stats[k][1] >= stats[k - 1][1] and stats[k][2] <= 0.5:
-            continue
-        first, last = top + banner, top + banner + k - 1
-        merged = any(first <= m[0] <= last and (m[2] > m[0] or m[3] > m[1]) for m in merges)
-        if k == 1 or merged or 2 <= stats[0][0] < stats[k - 1][0]:
-            return Header(banner, caption, k)
-    if len(stats) >= 2 and like and stats[0][3] and not stats[1][3]:
-        return Header(banner, caption, 1)
-    return Header(banner, caption, 0)
+    banner, captions = _banner(_row_letters(rows, top, left, merges))
+    caption = " ".join(clean(next(c for c in rows[i] if c).text) for i in captions) or None
+    first = top + banner
+    tops = {m[0] - first for m in merges if m[0] >= first and m[:2] != m[2:]}
+    return Header(banner, caption, _header_rows(rows[banner : banner + MOST_HEADER + 1], tops))
 
 
 def clean(text: str) -> str:
@@ -301,23 +312,19 @@ def clean(text: str) -> str:
 
 def header_names(cells: Grid, top: int, n_rows: int, left: int, right: int, merges: list[Rect]) -> list[str]:
     """Levels joined by ``_`` with merges filled in; blank names are 欄 and the letter; repeats are numbered."""
-    level = {(r, c): clean(cells[r, c].text) for r in range(top, top + n_rows) for c in range(left, right + 1) if (r, c) in cells}
-    for mt, ml, mb, mr in merges:
-        if (value := level.get((mt, ml))) and mt >= top:
-            level.update({(r, c): value for r in range(mt, min(mb, top + n_rows - 1) + 1) for c in range(ml, min(mr, right) + 1)})
-    names, seen = [], set()
+    levels = range(top, top + n_rows)
+    spread = {(r, c): m[:2] for m in merges if m[0] in levels for r in levels if m[0] <= r <= m[2] for c in range(max(left, m[1]), min(right, m[3]) + 1)}
+
+    def label(at: tuple[int, int]) -> str:
+        return clean(cells[at].text) if at in cells and left <= at[1] <= right else ""
+
+    taken: set[str] = set()
+    names = []
     for c in range(left, right + 1):
-        parts: list[str] = []
-        for r in range(top, top + n_rows):
-            if (t := level.get((r, c))) and (not parts or parts[-1] != t):
-                parts.append(t)
-        base = name = "_".join(parts) or f"欄{column_name(c)}"
-        n = 1
-        while name.lower() in seen:
-            n += 1
-            name = f"{base}_{n}"
-        seen.add(name.lower())
-        names.append(name)
+        path = filter(None, (label(spread.get((r, c), (r, c))) or label((r, c)) for r in levels))
+        base = "_".join(k for k, _ in groupby(path)) or f"欄{column_name(c)}"
+        names.append(next(n for n in chain([base], (f"{base}_{i}" for i in count(2))) if n.lower() not in taken))
+        taken.add(names[-1].lower())
     return names
 
 
