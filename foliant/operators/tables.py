@@ -101,12 +101,17 @@ def mask_sql(sql: str) -> str:
     return "".join(out)
 
 
-# Words that a read-only query on one table has no use for.
-FORBIDDEN = re.compile(
-    r"\b(attach|detach|pragma|load_extension|insert|update|delete|merge|drop|create|alter|truncate|set|reset|cache|uncache|refresh|use|add|describe|explain|show|transform|reflect|java_method|try_reflect|read_files|from_avro|input_file_name|current_user|session_user|version)\b",
-    re.I,
+# Words that no query may hold.
+FORBIDDEN = re.compile(r"\b(attach|detach|pragma|load_extension|insert\s+(?:into|overwrite)|delete\s+from|merge\s+into)\b", re.I)
+# Functions that leave the query's data, and those that make rows.
+REFUSED_FUNCTIONS = frozenset(
+    "reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user session_user user current_catalog current_database current_schema version spark_version from_avro to_avro from_protobuf to_protobuf sleep".split()
 )
-ALLOWED_GENERATORS = frozenset(("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "stack", "json_tuple"))
+CALLS = re.compile(rf"\b({'|'.join(sorted(REFUSED_FUNCTIONS))})\s*\(", re.I)
+ROW_FUNCTIONS = frozenset(("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"))
+#: Nodes of a parsed query that stand for rows without a table, and parts of names that change things.
+ROW_LEAVES = frozenset(("OneRowRelation", "UnresolvedInlineTable", "LocalRelation", "Range"))
+REFUSED_NODES = re.compile("Insert|Command|Script|Merge|Update|Delete|Create|Drop|Replace|Write|Cache|Set[A-Z]|Transform")
 
 
 def guard(sql: str) -> str:
@@ -121,25 +126,64 @@ def guard(sql: str) -> str:
         raise TableQueryError("multiple", "only one statement is allowed")
     if not re.match(r"\s*(select|with)\b", body, re.I):
         raise TableQueryError("not_select", "only SELECT and WITH are allowed")
-    if m := FORBIDDEN.search(body):
-        raise TableQueryError("forbidden", f"{m[0]} isn't allowed")
+    if m := FORBIDDEN.search(body) or CALLS.search(body):
+        raise TableQueryError("forbidden", f"{m[1]} isn't allowed")
     return sql[: len(body)]
 
 
+def _items(seq) -> list:
+    """A Scala sequence as a list."""
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def check_plan(spark: SparkSession, sql: str, view: str = "t") -> None:
     """Refuse plans that read anything but the view and the query's own CTEs, run commands or
-    scripts, or call table functions other than generators of rows."""
+    scripts, or call functions that leave the query's data.
+
+    Names are those of the parsed plan's nodes, each CTE's in force where SQL puts it, so no text
+    of the statement can widen what may be read."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    text = plan.treeString()
-    own = {m.lower() for m in re.findall(r"\b([\w]+)\s+AS\s*\(", sql, re.I)} | {m.lower() for m in re.findall(r"(?:with(?:\s+recursive)?|,)\s+([\w]+)\s*(?:\([^)]*\))?\s+as\s*\(", sql, re.I)} | {view}
-    for m in re.finditer(r"UnresolvedRelation \[([^\]]*)\]", text):
-        if m[1].strip().lower() not in own:
-            raise TableQueryError("forbidden", f"only the table {view} can be read, not {m[1]}")
-    for m in re.finditer(r"UnresolvedTableValuedFunction \[([^\]]*)\]", text):
-        if m[1].strip().lower() not in ALLOWED_GENERATORS:
-            raise TableQueryError("forbidden", f"{m[1]} isn't allowed")
-    if re.search(r"ScriptTransformation|InsertInto|Command|UnresolvedInlineTable.*read", text):
-        raise TableQueryError("forbidden", "only queries are allowed")
+
+    def refuse(what: str) -> None:
+        raise TableQueryError("forbidden", what)
+
+    def expression(e, scope: frozenset[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            parts = [str(p).lower() for p in _items(e.nameParts())]
+            if len(parts) != 1 or parts[0] in REFUSED_FUNCTIONS:
+                refuse(f"the function {'.'.join(parts)} isn't allowed")
+        if spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression").isInstance(e):
+            node(e.plan(), scope)
+        for child in _items(e.children()):
+            expression(child, scope)
+
+    def node(p, scope: frozenset[str]) -> None:
+        kind = p.getClass().getSimpleName()
+        if REFUSED_NODES.search(kind):
+            refuse("only queries are allowed")
+        if kind == "UnresolvedWith":
+            for cte in _items(p.cteRelations()):
+                name = str(cte._1()).lower()
+                node(cte._2(), scope | {name} if p.allowRecursion() else scope)
+                scope |= {name}
+            return node(p.child(), scope)
+        if kind == "UnresolvedRelation":
+            parts = [str(x) for x in _items(p.multipartIdentifier())]
+            if len(parts) != 1 or parts[0].lower() not in scope:
+                refuse(f"only the table {view} can be read, not {'.'.join(parts)}")
+        elif kind == "UnresolvedTableValuedFunction":
+            name = ".".join(str(x) for x in _items(p.name())).lower()
+            if name not in ROW_FUNCTIONS:
+                refuse(f"the function {name} isn't allowed")
+        elif not p.children().size() and kind not in ROW_LEAVES:
+            refuse(f"{kind} isn't allowed")
+        for e in _items(p.expressions()):
+            expression(e, scope)
+        for child in _items(p.children()):
+            node(child, scope)
+
+    node(plan, frozenset((view,)))
 
 
 @dataclass

@@ -60,3 +60,36 @@ def test_cache(spark, sales):
     assert len(loads) == 3
     cache.get("b", 1, load), cache.get("c", 1, load), cache.get("a", 2, load)
     assert len(loads) == 6
+
+
+@pytest.fixture
+def other(spark):
+    spark.range(3).createOrReplaceGlobalTempView("other")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW other AS SELECT 'secret' AS s")
+    yield "other"
+    spark.catalog.dropTempView("other")
+    spark.catalog.dropGlobalTempView("other")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT 'other AS (' x, b.* FROM other b", "SELECT 1 /* , other AS ( */ FROM other", "WITH x AS (SELECT 'with other as (' y) SELECT * FROM x, other", "SELECT (SELECT max(s) FROM other)", "SELECT EXISTS (SELECT 1 FROM other)", "SELECT * FROM global_temp.other",
+        "WITH a AS (SELECT * FROM other), other AS (SELECT 1) SELECT * FROM a", "WITH a AS (WITH other AS (SELECT 1) SELECT * FROM other) SELECT * FROM other", "SELECT * FROM t ORDER BY (SELECT count(*) FROM other)", "SELECT * FROM t JOIN LATERAL (SELECT * FROM other)",
+        "SELECT * FROM t WHERE 1 NOT IN (SELECT 1 FROM other)", "SELECT sum(1) OVER (PARTITION BY (SELECT 1 FROM other)) FROM t", "SELECT java_method('java.lang.System', 'getenv', 'PATH')", "SELECT `reflect`('a', 'b')", "SELECT * FROM read_files('/etc')", "SELECT 1 UNION ALL SELECT id FROM other", "VALUES (1) UNION SELECT 2",
+    ],
+)
+def test_guard_cant_be_widened_by_text(spark, other, sql):
+    with pytest.raises(tables.TableQueryError):
+        tables.check_plan(spark, tables._translate(tables.guard(sql)))
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT version, set, add, show, use, describe FROM t", "SELECT 'FROM other' FROM t", "WITH a AS (SELECT * FROM t), b AS (SELECT * FROM a) SELECT * FROM b JOIN t", "SELECT * FROM (SELECT 1 AS x) s, LATERAL (SELECT x + 1)", "SELECT * FROM range(3)", "SELECT explode(array(1, 2))", "SELECT * FROM VALUES (1, 2) AS v(a, b)",
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT * FROM r", "SELECT replace(x, 'a', 'b') FROM T", "SELECT * FROM t PIVOT (sum(a) FOR b IN (1, 2))", "SELECT count(*) FROM t WINDOW w AS (PARTITION BY a)",
+    ],
+)
+def test_plain_queries_pass(spark, sql):
+    tables.check_plan(spark, tables._translate(tables.guard(sql)))
