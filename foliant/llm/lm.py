@@ -8,13 +8,16 @@ With c the training counts and h the count of the history, an arc of order k has
 (Dirichlet smoothing; it sums to one over the vocabulary and one unknown word), where p_1 is the
 add-0.1 estimate.  Where training has no such n-gram, the failure arc of weight
 log10(mu / (h + mu)) leads to the state of the next shorter history; a history that training
-lacks fails at no cost.  A text is one traversal from the start state: each token takes the arc
-of the longest order present, adds the failure weights on the way and moves to the longest known
-suffix; the texts of a block take their steps as arrays.
+lacks is no state.  A text is one traversal from the start state: each token follows failure arcs,
+adding their weights, until the state has an arc for it, adds the arc's weight and moves to the
+arc's target, the longest suffix of what was read that is a state.
 
 Counts cover the whole training part.  The automaton isn't broadcast: every block of texts gets
-from the hash buckets just the arcs and states that its own texts can touch (see
-:mod:`foliant.llm.blocks`), so memory doesn't follow the size of the model.
+from the hash buckets just the n-grams that its own texts hold (see :mod:`foliant.llm.blocks`) and
+builds the part of the automaton that they can touch, so memory doesn't follow the size of the
+model.  A block's texts are cut into stretches that take their steps side by side; a stretch that
+doesn't begin a text reads order-1 tokens before it from the empty state, which leads to the state
+that the whole text would have there, since a state is the longest known suffix.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from .textcodes import TO_LOWER, U64, mix, owner, span_hashes, word_spans
 
 END, START = U64(0x9D8F3A1B5C7E2461), U64(0x3C6EF372FE94F82B)
 ADD = 0.1
+#: Tokens of a text that one traversal takes; longer texts are traversed in stretches side by side.
+STRETCH = 256
 RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -70,6 +75,95 @@ class Tokens:
         return out
 
 
+class Automaton:
+    """The part of the model that the texts of a block can touch.
+
+    State 0 is the empty history, states 1 to order-1 are histories of that many start marks (a
+    text begins in the last), the others are n-grams of orders below the model's that training
+    holds.  ``arc_key`` sorts the arcs by (state, token); ``fail`` and ``fail_weight`` are the failure
+    arcs."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, doc_start: np.ndarray, n_train_docs: int, n_all: int, n_words: int, mu: float):
+        """grams: (order, tokens) numbers of the n-grams that end at each token, distinct over the
+        orders; counts: training count of each number."""
+        order, n = grams.shape
+        self.order, self.size = order, len(counts)
+        flat = grams.ravel()
+        seen = np.zeros(self.size, np.int64)
+        seen[flat[::-1]] = np.arange(len(flat))[::-1]  # a place of each n-gram
+        level, at = seen // max(n, 1), seen % max(n, 1)
+        is_state = (counts > 0) & (level < order - 1)
+        self.state_of = np.zeros(self.size, np.int64)
+        self.state_of[is_state] = np.arange(order, order + int(is_state.sum()))
+        self.fail = np.maximum(np.arange(order + int(is_state.sum())) - 1, 0)
+        self.fail_weight = np.zeros(len(self.fail))
+        self.fail_weight[1:order] = np.log10(mu / (n_train_docs + mu))
+        shorter = np.zeros(self.size, np.int64)  # the n-gram without its first token
+        longer = level > 0
+        shorter[longer] = grams[level[longer] - 1, at[longer]]
+        mine = self.state_of[is_state]
+        self.fail[mine] = np.where(level[is_state] > 0, self.state_of[shorter[is_state]], 0)
+        self.fail_weight[mine] = np.log10(mu / (counts[is_state] + mu))
+        # Arc probabilities, from the shortest order up.
+        p = (counts + ADD) / (n_all + ADD * (n_words + 1))
+        source = np.zeros(self.size, np.int64)
+        for k in range(1, order):
+            here = np.flatnonzero((level == k) & (counts > 0))
+            begins = doc_start[at[here]]
+            history = np.where(begins, 0, grams[k - 1, np.maximum(at[here] - 1, 0)])
+            before = np.where(begins, n_train_docs, counts[history])
+            p[here] = (counts[here] + mu * p[shorter[here]]) / (before + mu)
+            source[here] = np.where(begins, k, self.state_of[history])
+        arcs = np.flatnonzero(counts > 0)
+        key = source[arcs] * self.size + grams[0, at[arcs]]
+        by = np.argsort(key)
+        arcs = arcs[by]
+        self.arc_key, self.arc_weight = key[by], np.log10(p[arcs])
+        self.arc_target = np.where(is_state[arcs], self.state_of[arcs], self.state_of[shorter[arcs]] if order > 1 else 0)
+        self.unknown = float(np.log10(ADD / (n_all + ADD * (n_words + 1))))
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after reading one token each, weights gathered)."""
+        after, weight = np.zeros(len(state), np.int64), np.zeros(len(state))
+        open_, state = np.arange(len(state)), state.copy()
+        while len(open_):
+            key = state[open_] * self.size + token[open_]
+            place = np.searchsorted(self.arc_key, key)
+            hit = np.zeros(len(open_), np.bool_)
+            inside = place < len(self.arc_key)
+            hit[inside] = self.arc_key[place[inside]] == key[inside]
+            taken = open_[hit]
+            after[taken] = self.arc_target[place[hit]]
+            weight[taken] += self.arc_weight[place[hit]]
+            open_ = open_[~hit]
+            lost = state[open_] == 0
+            weight[open_[lost]] += self.unknown
+            open_ = open_[~lost]
+            weight[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fail[state[open_]]
+        return after, weight
+
+    def traverse(self, tokens: np.ndarray, first: np.ndarray, last: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+        """(weight of each token, state after it) for texts of tokens first..last, both included."""
+        pieces = (last - first) // stretch + 1
+        text = np.repeat(np.arange(len(first)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = first[text] + nth * stretch
+        warm = np.where(nth > 0, np.minimum(self.order - 1, begin - first[text]), 0)
+        size = np.minimum(begin + stretch, last[text] + 1) - begin + warm
+        by = np.argsort(-size, kind="stable")
+        begin, warm, size, nth = begin[by], warm[by], size[by], nth[by]
+        state = np.where(nth > 0, 0, self.order - 1)
+        weights, states = np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
+        running = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # stretches of more tokens
+        for i, m in enumerate(running.tolist()):
+            at = begin[:m] - warm[:m] + i
+            state[:m], weight = self.step(state[:m], tokens[at])
+            counted = warm[:m] <= i
+            weights[at[counted]], states[at[counted]] = weight[counted], state[:m][counted]
+        return weights, states
+
+
 def score_texts(docs: DataFrame, *, order: int = 2, mu: float = 60.0, folds: int = 10, fold: int = 0) -> DataFrame:
     """Score every text by a model of the texts outside one fold.
 
@@ -118,23 +212,14 @@ def score_texts(docs: DataFrame, *, order: int = 2, mu: float = 60.0, folds: int
         counts = np.concatenate([from_planes(expand(got[b])[0], np.uint64) for b in sorted(got)]).astype(np.int64)
         count = np.empty(len(every), np.int64)
         count[order_] = counts[number]
-        arcs = count.reshape(order, -1)
-        p = base = (arcs[0] + ADD) / (n_all + ADD * (n_words + 1))
-        n_train_docs = arcs[0][t.last[0]] if len(t.last) else 0
-        weight = np.zeros(len(p))
-        for k in range(1, order):
-            history = np.empty(len(p), np.int64)
-            history[1:] = arcs[k - 1][:-1]
-            history[t.doc_start] = n_train_docs
-            # An arc present takes its smoothed probability and forgets what lower orders gave;
-            # else the failure arc's weight is added and the traversal stays with the shorter history.
-            present = arcs[k] > 0
-            below = p
-            p = np.where(present, (arcs[k] + mu * below * 10.0**weight) / (history + mu), below)
-            weight = np.where(present, 0.0, weight + np.log10(mu / (history + mu)))
-        steps = np.log10(p) + weight
-        logs = np.log10(base)
-        known = (arcs[0] > 0).astype(np.int64)
+        grams = np.empty(len(every), np.int64)
+        grams[order_] = number
+        grams = grams.reshape(order, -1)
+        ones = count.reshape(order, -1)[0]
+        automaton = Automaton(grams, counts, t.doc_start, int(ones[t.last[0]]) if len(t.last) else 0, n_all, n_words, mu)
+        steps, _ = automaton.traverse(grams[0], t.first, t.last)
+        logs = np.log10((ones + ADD) / (n_all + ADD * (n_words + 1)))
+        known = (ones > 0).astype(np.int64)
         return pa.table(
             [
                 pa.array(block.ids), pa.array(t.held), pa.array(t.last - t.first + 1),
