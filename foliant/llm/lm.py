@@ -34,6 +34,8 @@ from .runtime import cut
 from .textcodes import TO_LOWER, U64, mix, owner, span_hashes, word_spans
 
 END, START = U64(0x9D8F3A1B5C7E2461), U64(0x3C6EF372FE94F82B)
+#: Leaves 56 bits of the key of an n-gram; two of n distinct ones are taken for one with chance n^2 / 2^57.
+SHORT_KEY = ~U64(0x7F)
 ADD = 0.1
 #: Tokens of a text that one traversal takes; longer texts are traversed in stretches side by side.
 STRETCH = 256
@@ -64,14 +66,16 @@ class Tokens:
         self.doc_start[self.first] = True
 
     def keys(self, order: int) -> list[np.ndarray]:
-        """For each order, a 62-bit key of the n-gram that ends at each token; bit 0 marks words."""
+        """For each order, a key of the n-gram that ends at each token: 62 bits for words, which bit
+        0 marks, and 56 for longer n-grams, since these make up nearly all that is exchanged."""
         out, gram, before = [], self.codes, self.codes
         for k in range(1, order + 1):
             if k > 1:
                 before = np.concatenate(([START], before[:-1]))
                 before[self.doc_start] = START
                 gram = mix(gram * U64(0x9E3779B97F4A7C15) + before)
-            out.append(((mix(gram + U64(k)) >> U64(2)) << U64(1)) | U64(k == 1))
+            key = (mix(gram + U64(k)) >> U64(2)) << U64(1)
+            out.append(key | U64(1) if k == 1 else key & SHORT_KEY)
         return out
 
 
@@ -89,16 +93,16 @@ class Automaton:
         order, n = grams.shape
         self.order, self.size = order, len(counts)
         flat = grams.ravel()
-        seen = np.zeros(self.size, np.int64)
-        seen[flat[::-1]] = np.arange(len(flat))[::-1]  # a place of each n-gram
+        seen = np.zeros(self.size, np.int32)
+        seen[flat[::-1]] = np.arange(len(flat), dtype=np.int32)[::-1]  # a place of each n-gram
         level, at = seen // max(n, 1), seen % max(n, 1)
         is_state = (counts > 0) & (level < order - 1)
-        self.state_of = np.zeros(self.size, np.int64)
+        self.state_of = np.zeros(self.size, np.int32)
         self.state_of[is_state] = np.arange(order, order + int(is_state.sum()))
         self.fail = np.maximum(np.arange(order + int(is_state.sum())) - 1, 0)
         self.fail_weight = np.zeros(len(self.fail))
         self.fail_weight[1:order] = np.log10(mu / (n_train_docs + mu))
-        shorter = np.zeros(self.size, np.int64)  # the n-gram without its first token
+        shorter = np.zeros(self.size, np.int32)  # the n-gram without its first token
         longer = level > 0
         shorter[longer] = grams[level[longer] - 1, at[longer]]
         mine = self.state_of[is_state]
@@ -106,7 +110,7 @@ class Automaton:
         self.fail_weight[mine] = np.log10(mu / (counts[is_state] + mu))
         # Arc probabilities, from the shortest order up.
         p = (counts + ADD) / (n_all + ADD * (n_words + 1))
-        source = np.zeros(self.size, np.int64)
+        source = np.zeros(self.size, np.int32)
         for k in range(1, order):
             here = np.flatnonzero((level == k) & (counts > 0))
             begins = doc_start[at[here]]
@@ -115,7 +119,7 @@ class Automaton:
             p[here] = (counts[here] + mu * p[shorter[here]]) / (before + mu)
             source[here] = np.where(begins, k, self.state_of[history])
         arcs = np.flatnonzero(counts > 0)
-        key = source[arcs] * self.size + grams[0, at[arcs]]
+        key = source[arcs].astype(np.int64) * self.size + grams[0, at[arcs]]
         by = np.argsort(key)
         arcs = arcs[by]
         self.arc_key, self.arc_weight = key[by], np.log10(p[arcs])
@@ -164,7 +168,7 @@ class Automaton:
         return weights, states
 
 
-def score_texts(docs: DataFrame, *, order: int = 2, mu: float = 60.0, folds: int = 10, fold: int = 0) -> DataFrame:
+def score_texts(docs: DataFrame, *, order: int = 3, mu: float = 60.0, folds: int = 10, fold: int = 0) -> DataFrame:
     """Score every text by a model of the texts outside one fold.
 
     Input: doc_id, text and any other columns.  Result: doc_id, held_out, n_tokens, n_known,
@@ -206,16 +210,16 @@ def score_texts(docs: DataFrame, *, order: int = 2, mu: float = 60.0, folds: int
         every = np.concatenate(keys)
         order_ = np.argsort(every)
         srt = every[order_]
-        number = np.zeros(len(srt), np.int64)
+        number = np.zeros(len(srt), np.int32)
         number[1:] = srt[1:] != srt[:-1]
-        number = np.cumsum(number)
+        number = np.cumsum(number, dtype=np.int32)
+        del keys, srt
         counts = np.concatenate([from_planes(expand(got[b])[0], np.uint64) for b in sorted(got)]).astype(np.int64)
-        count = np.empty(len(every), np.int64)
-        count[order_] = counts[number]
-        grams = np.empty(len(every), np.int64)
+        grams = np.empty(len(every), np.int32)
         grams[order_] = number
         grams = grams.reshape(order, -1)
-        ones = count.reshape(order, -1)[0]
+        ones = counts[grams[0]]
+        del every, order_, number
         automaton = Automaton(grams, counts, t.doc_start, int(ones[t.last[0]]) if len(t.last) else 0, n_all, n_words, mu)
         steps, _ = automaton.traverse(grams[0], t.first, t.last)
         logs = np.log10((ones + ADD) / (n_all + ADD * (n_words + 1)))
