@@ -47,6 +47,13 @@ HINT = re.compile(
     r"|newsletter|subscribe|subscription|sign-?up|log-?in|share|sharing|social|related|recommended|recommendations|trending|comments?|replies|reply|disqus|respond|discussion|pagination|pager|toolbar|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article only these whole class or id tokens count, and only on containers: parts of a text
+#: are often called legal, related-work, share-price or discussion.
+CONTAINERS = frozenset("div section ul ol dl table span header".split())
+INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored sponsor promo nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar footer newsletter newsletter-signup subscribe subscription sign-up signup cookie-banner cookie-notice cookie-consent "
+    "notice notices site-notice popup modal comment comments comment-list comments-area comments-section comment-form reader-comments disqus_thread respond replies related-posts related-articles share-buttons sharing social-share social-links pagination pager skip-link toolbar".split()
+)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 LAYOUT = re.compile(r"(?:has|no|with|without|is|show|hide)[-_]", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -63,12 +70,12 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
         return True
     # Names such as "has-sidebar" describe the layout around, not the element.
     hint = " ".join(t for t in f"{found.get('class', '')} {found.get('id', '')}".split() if not LAYOUT.match(t))
-    if inside:
-        hint = re.sub(r"(?i)\b(?:entry|post|article|page|content)?[-_]?header\b", " ", hint)  # an article's own heading
     if name in ("html", "body", "main"):
         return False
     if name == "article":
         return bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|ads?|advert\w*|sponsor\w*|promo|related|teaser)(?:$|[\s_-])", hint, re.I))
+    if inside:
+        return name in CONTAINERS and not INSIDE.isdisjoint(hint.lower().split())
     return bool(HINT.search(hint))
 
 
@@ -154,7 +161,9 @@ def marked_lines(page: str | None) -> list[tuple[str, bool, bool]]:
 
 def _by_markup(lines: list[tuple[str, bool, bool]]) -> tuple[list[str], bool]:
     own = [line for line, marked, landmark in lines if landmark and not marked]
-    return (own, True) if own else ([line for line, marked, _ in lines if not marked], False)
+    every = [line for line, marked, _ in lines if not marked]
+    # An article element of less than half of the text is a teaser and not the page's article.
+    return (own, True) if 2 * sum(map(len, own)) >= sum(map(len, every)) and own else (every, False)
 
 
 def lines_of(page: str | None) -> tuple[list[str], bool]:
