@@ -233,8 +233,10 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """The rows of docs, all columns as they are, in which no benchmark window occurs;
-    as in :func:`find`, items with a null item_id are left out."""
+    """The rows of docs, all columns as they are, in which no benchmark window occurs.
+
+    As in :func:`find`, items with a null item_id are left out.  Null and empty texts have no words
+    and stay, as does every row if the benchmark has no words; repeated rows fare alike."""
     spark = docs.sparkSession
     ship(spark)
     at = docs.columns.index("text")

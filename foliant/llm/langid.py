@@ -23,6 +23,11 @@ SEED = 0x1D
 #: Trigram vectors that a worker keeps; beyond that it starts afresh, which costs time only.
 CACHE = 1 << 15
 
+#: A text of at least so many letters must have a cosine above this with some prototype.  Random
+#: letters, base64 and hexadecimal digits of 20 to 5000 bytes have 0.15 at most, other scripts about
+#: 0.05; of the given texts with 50 characters or more the least, one word over and over, has 0.229.
+LEAST_LETTERS, LEAST_COSINE = 40, 0.16
+
 _LETTERS: dict[int, np.ndarray] = {}
 
 
@@ -58,6 +63,7 @@ class Encoder:
         self.alphabet = Alphabet()
         self.rows: dict[int, int] = {}
         self.vectors = np.zeros((0, dimensions), np.int8)
+        self.n_letters = 0  # of the text encoded last
 
     def _place(self, keys: list[int]) -> list[int]:
         new = [k for k in keys if k not in self.rows]
@@ -79,7 +85,8 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray | None:
         """The text's vector, or None if it has no letter."""
         letters = self.alphabet.letters(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32))
-        if not letters.any():
+        self.n_letters = int(np.count_nonzero(letters))
+        if not self.n_letters:
             return None
         letters = np.concatenate(([0], letters, [0])).astype(np.int64)
         keep = np.ones(len(letters), np.bool_)
@@ -101,7 +108,9 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, *, folds: int = 4, fold: int = 2, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Prototype of each non-null lang, from all texts outside the held-out fold.
+    """Prototype of each non-null lang, from all texts outside the held-out fold; null, empty and
+    letterless texts add nothing, repeated rows count as often as they occur, and an empty table
+    gives no prototypes.
 
     Tasks add up their own texts; their sums meet in two steps.  The driver gets one vector a
     language."""
@@ -163,9 +172,13 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, folds: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, least: float = 0.0, dimensions: int = DIMENSIONS) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is identified; those that
-    :func:`identify` calls ``und``, or whose best cosine isn't above ``least``, go."""
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, least: float = LEAST_COSINE, letters: int = LEAST_LETTERS, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is identified.
+
+    Those that :func:`identify` calls ``und`` go (null, empty, without a letter, or no prototype at
+    all), and so do texts of ``letters`` letters or more whose best cosine isn't above ``least``:
+    encoded data and languages that weren't learned.  Shorter texts can't be told and stay.
+    Repeated rows fare alike; an empty table gives no rows."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(prototypes)
@@ -178,7 +191,7 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], *, least
             stay = []
             for text in batch.column(at).to_pylist():
                 v = encoder.encode(text) if matrix is not None else None
-                stay.append(v is not None and float((matrix @ _unit(v)).max()) > least)
+                stay.append(v is not None and (encoder.n_letters < letters or float((matrix @ _unit(v)).max()) > least))
             yield batch.filter(pa.array(stay, pa.bool_()))
             release()
 
