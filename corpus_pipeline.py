@@ -15,13 +15,14 @@ from foliant.llm.runtime import cut, discard, scratch, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go: in practice those that are null or
-    have no letter, since with no limit but 0 nearly any text with a letter is like some prototype."""
+    """Documents without an identifiable language go: null or letterless ones, and texts that are
+    like no language's prototype, such as encoded data."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each group of similar lines stays; a document that lost all its words goes."""
+    """One line of each group of similar lines stays; a document that lost all its words goes, one
+    that had none stays."""
     kept = lines.deduplicate(docs)
     n_removed = kept.columns[len(docs.columns) + 1]
     kept = kept.filter((F.col(n_removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -43,13 +44,14 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go, of items without an id as well."""
+    """Documents in which a window of a benchmark item occurs go, of items without an id as well;
+    null and empty texts stay, and all do if the benchmark is empty."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.remove(docs, items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, checked by decoding."""
+    """Token ids of each document, checked by decoding; a null or empty text has none."""
     return sentencepiece_sa.encode(docs).select("doc_id", "n_tokens", "ids", "ids_sha256", "round_trip")
 
 
