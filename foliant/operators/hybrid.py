@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lexical import keyword_search
+from .lexical import Index, keyword_search
 from .vector import top_k
 
 RRF_K, MOST_HITS, PER_FILE = 60, 200, 3
@@ -57,7 +57,7 @@ def shape(fused: DataFrame, details: DataFrame, k: int, *, id_col: str, path_col
     return top.withColumn("score", F.col("score") / F.first("score").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("_in_file")
 
 
-def search(chunks: DataFrame, query: str, k: int, *, vectors: DataFrame | None = None, query_vector: list[float] | None = None, prefixes: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", vector_id: str = "vec_id") -> DataFrame:
+def search(chunks: DataFrame, query: str, k: int, *, vectors: DataFrame | None = None, query_vector: list[float] | None = None, prefixes: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", vector_id: str = "vec_id", index: Index | None = None) -> DataFrame:
     """Hits with score, kinds and ``degraded`` (no vectors took part).
 
     A blank query or k of 0 gives no hit and isn't degraded."""
@@ -68,7 +68,7 @@ def search(chunks: DataFrame, query: str, k: int, *, vectors: DataFrame | None =
     n = candidate_count(k, bool(prefixes))
     degraded = vectors is None or query_vector is None
     semantic = None if degraded else top_k(vectors, query_vector, n, id_col=vector_id).withColumnRenamed(vector_id, id_col)
-    keyword = keyword_search(chunks, query, n, id_col=id_col, text_col=text_col)
+    keyword = keyword_search(chunks, query, n, id_col=id_col, text_col=text_col, index=index)
     fused = fuse(semantic, keyword, id_col)
     order = [F.desc("score"), F.asc("semantic_rank"), F.asc(id_col)]
     fused = fused.orderBy(*order).limit(n if degraded else 2 * n)

@@ -4,13 +4,19 @@ A term of three or more characters is a phrase of trigrams, which is a substring
 pass over the corpus counts occurrences, one aggregate gives the corpus statistics and the
 document frequency of every term, and scores follow from a projection.  Terms are literals of
 the plan: nothing is joined but a one-row aggregate.
+
+For many queries over a corpus that stays, :func:`write_index` keeps positional postings, in folders
+by trigram bucket and sorted by trigram, with each document's length beside them.  A query then
+reads the postings of its own trigrams and nothing else: the folder and the row groups are pruned,
+phrases are matched on positions, and no text is read.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import occurrences, segments
@@ -60,14 +66,20 @@ def bm25(docs: DataFrame, terms: tuple[str, ...], id_col: str, text_col: str, li
     lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     counted = docs.select(F.col(id_col), F.greatest(F.length(text_col) - 2, F.lit(0)).alias("_len"), *(occurrences(lowered, t).alias(f"_f{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
-    hit = counted.filter(" OR ".join(f"_f{i} > 0" for i in range(len(terms))))
+    return _ranked(counted, stats, len(terms), id_col, limit)
+
+
+def _ranked(counted: DataFrame, stats: DataFrame, n_terms: int, id_col: str, limit: int) -> DataFrame:
+    """The best rows by the occurrences _f0, _f1, ... of each term and a length _len, with the
+    one-row statistics _n, _avg and document frequencies _d0, _d1, ..."""
+    hit = counted.filter(" OR ".join(f"_f{i} > 0" for i in range(n_terms)))
 
     def part(i: int) -> Column:
         df, f = F.col(f"_d{i}"), F.col(f"_f{i}")
         idf = F.ln((F.col("_n") - df + 0.5) / (df + 0.5))
         return F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * f * (K1 + 1) / (f + K1 * ((1 - B) + B * F.col("_len") / F.col("_avg")))
 
-    score = sum((part(i) for i in range(1, len(terms))), part(0))
+    score = sum((part(i) for i in range(1, n_terms)), part(0))
     return hit.join(F.broadcast(stats)).select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
 
 
@@ -82,12 +94,13 @@ def ascii_lower_text(t: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
 
-def keyword_search(docs: DataFrame, query: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): both branches are cut to ``limit`` before their scores are added."""
+def keyword_search(docs: DataFrame, query: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None) -> DataFrame:
+    """(id, score): both branches are cut to ``limit`` before their scores are added.  With an index
+    of the same documents, phrases come from it; substrings of two characters are always scanned."""
     q = build_query(query)
     parts = []
     if q.match:
-        parts.append(bm25(docs, q.match, id_col, text_col, limit))
+        parts.append(indexed_bm25(index, q.match, id_col, limit) if index else bm25(docs, q.match, id_col, text_col, limit))
     if q.like:
         parts.append(substring_hits(docs, q.like, id_col, text_col, limit))
     if not parts or limit <= 0:
@@ -96,6 +109,74 @@ def keyword_search(docs: DataFrame, query: str, limit: int, *, id_col: str = "do
     return both.groupBy(id_col).agg(F.sum("score").alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
 
 
+BUCKETS = 256
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings: (bucket, trigram, id, len, at); stats: one row (_n, _avg)."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def trigram_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Positional postings of every text, null and short ones counted in the statistics only.
+
+    Positions count UTF-16 units, as those of the query's trigrams do."""
+    length = F.greatest(F.length(text_col) - 2, F.lit(0))
+    lowered = F.lower(F.col(text_col))
+    grams = F.posexplode(F.regexp_extract_all(lowered, F.lit("(?s)(?=(...))"), F.lit(1))).alias("place", "trigram")  # one pass, overlapping
+    placed = docs.filter(F.length(lowered) >= 3).select(id_col, length.alias("len"), grams)
+    postings = placed.groupBy("trigram", id_col, "len").agg(F.collect_list("place").alias("at"))
+    bucket = F.pmod(F.crc32(F.encode("trigram", "UTF-8")), F.lit(BUCKETS)).cast("int")
+    return Index(postings.select(bucket.alias("bucket"), "trigram", id_col, "len", "at"), docs.agg(F.count("*").alias("_n"), F.avg(length).alias("_avg")))
+
+
+def write_index(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", files_per_bucket: int = 1) -> Index:
+    """Write the index: a folder for each bucket, its files sorted by trigram so that row groups
+    can be skipped.  ``files_per_bucket`` grows with the corpus: a hot trigram's postings are dealt
+    out by document, so that no task holds them all."""
+    index = trigram_index(docs, id_col, text_col)
+    deal = F.pmod(F.xxhash64(id_col), F.lit(files_per_bucket))
+    rows = index.postings.repartition(BUCKETS * files_per_bucket if files_per_bucket > 1 else docs.sparkSession.sparkContext.defaultParallelism * 2, "bucket", deal)
+    rows.sortWithinPartitions("bucket", "trigram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return read_index(docs.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+
+
+def _places(term: str) -> list[tuple[int, str]]:
+    """(offset in UTF-16 units, trigram) of a term."""
+    return [(len(term[:i].encode("utf-16-le")) // 2, term[i : i + 3]) for i in range(len(term) - 2)]
+
+
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def indexed_bm25(index: Index, terms: tuple[str, ...], id_col: str, limit: int) -> DataFrame:
+    """What :func:`bm25` gives, from the postings of the terms' trigrams alone."""
+    grams = sorted({g for t in terms for _, g in _places(t)})
+    buckets = sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
+    read = index.postings.filter(F.col("bucket").isin(buckets) & F.col("trigram").isin(grams))
+    by_doc = read.groupBy(id_col).agg(F.first("len").alias("_len"), *(F.flatten(F.collect_list(F.when(F.col("trigram") == g, F.col("at")))).alias(f"_g{i}") for i, g in enumerate(grams)))
+
+    def count(term: str) -> Column:
+        places = [_moved(F.col(f"_g{grams.index(g)}"), o) for o, g in _places(term)]
+        found = places[0]
+        for p in places[1:]:
+            found = F.array_intersect(found, p)
+        return F.size(found)
+
+    counted = by_doc.select(id_col, "_len", *(count(t).alias(f"_f{i}") for i, t in enumerate(terms)))
+    frequencies = counted.agg(*(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
+    return _ranked(counted, index.stats.join(F.broadcast(frequencies)), len(terms), id_col, limit)
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(trigram, id, tf): the inverted index for many queries, clustered by trigram on write."""
     lowered = F.lower(F.col(text_col))

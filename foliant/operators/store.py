@@ -99,9 +99,11 @@ class VersionedTable:
         out.write(bytearray(text.encode()))
         out.close()
         final, _ = self._fs(f"{self.root}/current.json")
-        fs.delete(final, False)
-        if not fs.rename(tmp, final):
-            raise OSError("the version pointer can't be turned")
+        # One step that replaces the old pointer, so that readers always find one.
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(tmp), fs.makeQualified(final), options)
         return now["version"] + 1
 
     def clear(self, like: DataFrame) -> int:

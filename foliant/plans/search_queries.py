@@ -50,6 +50,13 @@ def keyword_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.keyword_search(table(spark, sf_dir, "documents"), "tion heit zu", 30).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {_bm25_sql(TERMS, 160)} SELECT doc_id, round(score, 6) AS score FROM bm")
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking from postings alone (here made on the way; see lexical.write_index)."""
+    index = lexical.trigram_index(table(spark, sf_dir, "documents"))
+    return lexical.indexed_bm25(index, TERMS, "doc_id", 160).withColumn("score", F.round("score", 6))
+
+
 _KNN = """q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 7),
  el AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
  qe AS (SELECT unnest(qv) AS w, unnest(range(1, len(qv) + 1)) AS i FROM q),
