@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from foliant.shipping import ship
 
 
+#: Queries of a block that is broadcast at once.
+BLOCK_QUERIES = 1024
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision; null if the sizes differ."""
     product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -55,28 +59,43 @@ def top_k(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "vec_
 
 
 def best_similarity(queries: DataFrame, vectors: DataFrame, *, query_id: str = "query_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, best): largest inner product of each query of a stated set with any vector.
-
-    The set is met in blocks of a fixed number of queries against all vectors."""
-    ship(vectors.sparkSession)
-    rows = queries.select(query_id, F.col(vector_col)).collect()
-    out = None
-    for lo in range(0, len(rows), 1024):
-        part = rows[lo : lo + 1024]
-        matrix = np.asarray([r[1] for r in part], np.float64)
-        ids = [r[0] for r in part]
-
-        def run(batches: Iterator[pa.RecordBatch], matrix=matrix, ids=ids) -> Iterator[pa.RecordBatch]:
-            best = np.full(len(ids), -np.inf)
+    """(query_id, best): largest inner product of each query with any vector of its size; a query
+    without one has no row, and no queries give no rows.
+
+    Queries are packed into blocks of a fixed number by a hash, as many blocks as their count asks
+    for; every block meets all vectors, one matrix product a pair of batches."""
+    spark = vectors.sparkSession
+    ship(spark)
+    given = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    n_blocks = max(1, -(-given.count() // BLOCK_QUERIES))
+    ids = f"{query_id} long, best double"
+    usable = vectors.filter(F.size(vector_col) > 0).select(F.col(vector_col).cast("array<float>").alias("v"))
+    out = spark.createDataFrame([], ids)
+    for block in range(n_blocks):
+        rows = given.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).collect()  # a block of the stated set
+        by_size: dict[int, list] = {}
+        for r in rows:
+            by_size.setdefault(len(r.v), []).append(r)
+        shared = spark.sparkContext.broadcast({n: (np.array([r.id for r in rs], np.int64), np.array([r.v for r in rs], np.float64)) for n, rs in by_size.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best = {n: np.full(len(i), -np.inf) for n, (i, _) in shared.value.items()}
             for b in batches:
                 column = b.column(0)
-                if len(column):
-                    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-                    best = np.maximum(best, (matrix @ flat.T).max(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(best)], names=[query_id, "best"])
-
-        found = vectors.filter(F.size(vector_col) == matrix.shape[1]).select(vector_col).mapInArrow(run, f"{query_id} long, best double")
-        out = found if out is None else out.unionByName(found)
+                sizes = np.diff(column.offsets.to_numpy())
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                starts = np.cumsum(sizes) - sizes
+                for n, (_, matrix) in shared.value.items():
+                    mine = starts[sizes == n]
+                    if len(mine):
+                        part = flat[mine[:, None] + np.arange(n)].astype(np.float64)
+                        best[n] = np.maximum(best[n], (matrix @ part.T).max(axis=1))
+            for n, (i, _) in shared.value.items():
+                met = np.isfinite(best[n])
+                yield pa.RecordBatch.from_arrays([pa.array(i[met]), pa.array(best[n][met])], names=[query_id, "best"])
+
+        if rows:
+            out = out.unionByName(usable.mapInArrow(run, ids))
     return out.groupBy(query_id).agg(F.max("best").alias("best"))
 
 

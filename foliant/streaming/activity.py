@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.shared import shared_folder
+
 
 def source(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream of parquet files."""
@@ -46,14 +47,25 @@ def distinct_events(events: DataFrame, *, at: str, keys: list[str], late: str =
 
 
 def run_available(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All that the source has now, as a table; the stream ends with it.  Its checkpoint lies in the
-    folder of spark.checkpoint.dir; a temporary folder serves only where that is unset, as in tests."""
-    name = f"s_{uuid.uuid4().hex}"
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    checkpoint = checkpoint or (f"{shared.rstrip('/')}/streams/{name}" if shared else tempfile.mkdtemp(prefix="stream-"))
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """All that the source has now, as a table; the stream ends with it.
+
+    Each micro-batch is written as Parquet to the shared folder under its number, so that a
+    repeated batch replaces itself and no result passes through the driver.  In complete mode the
+    last batch is the whole result, else all batches together are."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    written: dict[int, str] = {}
+
+    def write(rows: DataFrame, number: int) -> None:
+        written[number] = f"{root}/rows/{number}"
+        rows.write.mode("overwrite").parquet(written[number])
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint or f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    paths = [written[n] for n in sorted(written)]
+    if not paths:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(paths[-1:] if mode == "complete" else paths))
 
 
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None):

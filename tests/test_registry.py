@@ -42,3 +42,41 @@ def test_tokens_and_vectors(spark):
     assert vector.from_blob(vector.to_blob([1.0, 2.5])) == [1.0, 2.5]
     best = vector.best_similarity(df.select(F.col("vec_id").alias("query_id"), "embedding"), df)
     assert all(abs(r.best - 1) < 1e-6 for r in best.collect())
+
+
+def test_best_similarity_of_any_query_set(spark):
+    import numpy as np
+
+    from foliant.operators import vector
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4 if i % 5 else 3).tolist()) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "query_id long, embedding array<float>")
+    assert vector.best_similarity(vectors.limit(0), vectors).count() == 0
+    odd = spark.createDataFrame([(1, [1.0] * 7), (2, None), (None, [1.0])], "query_id long, embedding array<float>")
+    assert vector.best_similarity(odd, vectors).count() == 0
+    old, vector.BLOCK_QUERIES = vector.BLOCK_QUERIES, 7
+    try:
+        got = {r.query_id: r.best for r in vector.best_similarity(vectors, vectors).collect()}
+    finally:
+        vector.BLOCK_QUERIES = old
+    v = {i: np.float32(x).astype(float) for i, x in rows}
+    assert set(got) == set(v) and all(abs(got[i] - max(x @ y for y in v.values() if len(y) == len(x))) < 1e-9 for i, x in v.items())
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    import pytest
+
+    from foliant.shared import shared_folder
+
+    class Fake:
+        master = "spark://x"
+        _jsc = property(lambda self: self)
+        sc = getCheckpointDir = lambda self: self
+        isDefined = lambda self: False
+        getConf = lambda self: self
+        get = lambda self, *_: None
+        conf = sparkContext = property(lambda self: self)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Fake())
