@@ -2,7 +2,7 @@
 
 Long jobs cut their lineage by writing a table below the folder named by
 ``spark.checkpoint.dir`` and reading it back, so a lost executor costs a re-read and not a
-re-run.  Nothing here uses a machine-local folder unless that setting is absent.  Shuffle files of
+re-run.  A machine-local folder serves only with a local master that has no such setting.  Shuffle files of
 a written table go at once; its own files go when :func:`scratch` ends or :func:`discard` is called.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 import ctypes
 import os
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,6 +18,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.shared import shared_folder
 from foliant.shipping import ship  # noqa: F401  the operators take it from here
 
 try:
@@ -27,23 +27,8 @@ except OSError:  # another C library: memory stays with the worker
     _LIBC = None
 
 
-def workspace(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    Read from the session; only where neither the setting nor a checkpoint folder exists (as in
-    tests) a temporary folder is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="foliant-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{workspace(spark)}/foliant/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/foliant/{label}-{uuid.uuid4().hex}"
 
 
 #: Paths that cut has written, for the innermost :func:`scratch`.
