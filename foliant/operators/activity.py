@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.text import csv_safe
+
 
 def summary(events: DataFrame, *, client: str, kind: str, at: str, id_col: str, kinds: dict[str, str], version: str | None = None, detail: str | None = None, error_kind: str | None = None) -> DataFrame:
     """Per client: last time of each kind, and the latest version and error text."""
@@ -49,6 +51,30 @@ def per_minute(events: DataFrame, *, at: str, kind: str, newest: int = 5) -> Dat
     return rolled.select(F.col("w.start").alias("minute"), kind, "n", "last_at").orderBy(F.desc("last_at"), kind).limit(newest)
 
 
+def failed_files(documents: DataFrame, reasons: dict[str, str], other: str) -> DataFrame:
+    """(path, reason, error) of failed documents, safe for a spreadsheet; errors that ``reasons``
+    doesn't name get the text for others."""
+    reason = F.lit(other)
+    for code, text in reasons.items():
+        reason = F.when(F.col("error") == code, text).otherwise(reason)
+    return documents.filter("status = 'failed'").select(csv_safe(F.col("path")).alias("path"), reason.alias("reason"), csv_safe(F.col("error")).alias("error"))
+
+
+def folder_states(documents: DataFrame, now: Column, *, folder: str = "folder", fresh_minutes: int = 5) -> DataFrame:
+    """(folder, state, n, n_failed, n_fresh): problem where a document failed, running where one
+    waits, done else; n_fresh were updated in the last minutes."""
+    failed, waits = F.count_if(F.col("status") == "failed"), F.count_if(F.col("status").isin("waiting", "pending"))
+    fresh = F.count_if(F.col("updated_at") >= now - F.expr(f"INTERVAL {fresh_minutes} MINUTES"))
+    out = documents.groupBy(folder).agg(F.count("*").alias("n"), failed.alias("n_failed"), waits.alias("_waits"), fresh.alias("n_fresh"))
+    return out.select(folder, F.when(F.col("n_failed") > 0, "problem").when(F.col("_waits") > 0, "running").otherwise("done").alias("state"), "n", "n_failed", "n_fresh")
+
+
+def counted_up_to(df: DataFrame, most: int) -> tuple[int, bool]:
+    """(rows, whether there are more), looking at no more than ``most`` + 1 rows."""
+    n = df.limit(most + 1).count()
+    return min(n, most), n > most
+
+
 def evaluate(ranked: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Recall@k and mean reciprocal rank.
 

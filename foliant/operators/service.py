@@ -40,9 +40,9 @@ class Service:
         return self.registered[table_id]
 
     def describe_table(self, table_id: str, sample_rows: int = 5) -> tables.Description:
-        return tables.describe(self._table(table_id)[1](), sample_rows)
+        return tables.describe(tables.loading(table_id, self._table(table_id)[1]), sample_rows)
 
     def query_table(self, table_id: str, sql: str, max_rows: int = DEFAULT_ROWS) -> tables.QueryResult:
         tables.guard(sql)
         stamp, load = self._table(table_id)
-        return tables.query(self.cache.get(table_id, stamp, load), sql, max_rows)
+        return tables.query(self.cache.get(table_id, stamp, lambda: tables.loading(table_id, load)), sql, max_rows)

@@ -38,6 +38,20 @@ def replace_documents(store: DataFrame, chunks: DataFrame, key: str = "document_
     return store.join(chunks.select(key).distinct(), key, "left_anti").unionByName(chunks)
 
 
+def mark(documents: DataFrame, chunks: DataFrame, marks: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks after a change of status.
+
+    marks: key, status, error, next_retry_at, keep_chunks.  The marked documents take these values;
+    where chunks aren't kept they go and the document's chunk_count is 0.  Marks of unknown
+    documents do nothing; of several for one document the last status by name counts."""
+    once = marks.groupBy(key).agg(F.max_by(F.struct("status", "error", "next_retry_at", "keep_chunks"), "status").alias("_mark"))
+    marked, drop = F.col("_mark").isNotNull(), F.col("_mark.keep_chunks").eqNullSafe(False)
+    new = {c: F.when(marked, F.col(f"_mark.{c}")).otherwise(F.col(c)) for c in ("status", "error", "next_retry_at")}
+    out = documents.join(once, key, "left").withColumns(new | {"chunk_count": F.when(drop, 0).otherwise(F.col("chunk_count")).cast("int")})
+    gone = once.filter(drop).select(key)
+    return out.select(*documents.columns), chunks.join(gone, key, "left_anti")
+
+
 def without_prefix(df: DataFrame, path_col: str, prefixes: DataFrame, prefix_col: str = "path") -> DataFrame:
     """Rows whose path isn't a prefix in a small table or below one.
 

@@ -56,6 +56,30 @@ def mass_deletion(changes: DataFrame, folder: Column) -> DataFrame:
     return out.withColumn("hold", (F.col("n_missing") >= MASS_LEAST) & (F.col("n_missing") > F.col("n_known") * MASS_SHARE))
 
 
+def still_asked(changes: DataFrame, folder: Column, dismissed: DataFrame, now: Column | None = None) -> DataFrame:
+    """(folder, n_missing, n_known, hold, files): as :func:`mass_deletion`, but a folder whose
+    question about just these files was dismissed in the last 24 hours isn't asked about.
+
+    ``files`` tells a set of missing paths from another; dismissed: folder, files, at."""
+    missing = F.when(F.col("change") == "missing", F.xxhash64(F.lower("path")))
+    asked = mass_deletion(changes, folder).join(changes.groupBy(folder.alias("folder")).agg(F.coalesce(F.bit_xor(missing), F.lit(0)).alias("files")), "folder")
+    since = (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {HOLD_HOURS} HOURS")
+    quiet = dismissed.filter(F.col("at") > since).select("folder", "files").distinct().withColumn("_quiet", F.lit(True))
+    return asked.join(quiet, ["folder", "files"], "left").select("folder", "n_missing", "n_known", (F.col("hold") & F.col("_quiet").isNull()).alias("hold"), "files")
+
+
+def outcomes(parsed: DataFrame, now: Column | None = None) -> DataFrame:
+    """(path, status, error, next_retry_at, keep_chunks) of parsed files (path, error).
+
+    A locked file is tried again after some minutes and keeps the chunks it has; one that can't be
+    read or takes too long fails and loses them; a truncated one is done."""
+    now = F.current_timestamp() if now is None else now
+    locked, done = F.col("error") == "locked", F.col("error").isNull() | (F.col("error") == "truncated")
+    status = F.when(done, "done").when(locked, "waiting").when(F.col("error") == "unsupported", "skipped").otherwise("failed")
+    retry = F.when(locked, now + F.expr(f"INTERVAL {RETRY_MINUTES} MINUTES"))
+    return parsed.select("path", status.alias("status"), "error", retry.alias("next_retry_at"), (done | F.coalesce(locked, F.lit(False))).alias("keep_chunks"))
+
+
 def queue(work: DataFrame) -> DataFrame:
     """Each path once: by priority (the latest first), else the newest file, then the path."""
     best = Window.partitionBy(F.lower("path")).orderBy(F.desc_nulls_last("priority"), F.desc("mtime"))

@@ -9,6 +9,7 @@ from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from foliant.functions.values import format_value, is_blank, is_number, parse_da
 
 SAMPLE_ROWS, MOST_ROWS, TIMEOUT_S = 20, 500, 5.0
 CACHED_TABLES, CACHE_S = 4, 60.0
+MOST_VALUE_BYTES = 16 << 20
 
 
 class TableQueryError(ValueError):
@@ -214,6 +216,38 @@ def _translate(sql: str) -> str:
     return "".join(out)
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """Texts and binaries above the size cap are an error before they reach the driver."""
+    out = []
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f"c{i}")
+        wide = f.dataType.typeName() in ("string", "binary")
+        out.append(F.when(F.octet_length(c) > MOST_VALUE_BYTES, F.raise_error(F.lit(f"a value is larger than {MOST_VALUE_BYTES} bytes"))).otherwise(c).alias(f"c{i}") if wide else c)
+    return df.toDF(*(f"c{i}" for i in range(len(out)))).select(*out) if out else df
+
+
+def loading(name: str, load: Callable[[], DataFrame]) -> DataFrame:
+    """The cells of a registered table, or an error whose kind says what became of its file."""
+    try:
+        cells = load()
+        empty = not cells.columns
+    except TableQueryError:
+        raise
+    except FileNotFoundError as e:
+        raise TableQueryError("missing", f"the file of {name} was moved or deleted") from e
+    except LookupError as e:
+        raise TableQueryError("moved", f"the content of {name} changed and its range isn't there; search again") from e
+    except OSError as e:
+        raise TableQueryError("locked", f"the file of {name} can't be read now; another program may use it") from e
+    except AnalysisException as e:
+        raise TableQueryError("missing" if "PATH_NOT_FOUND" in str(e) else "unreadable", f"the file of {name} can't be read: {str(e).splitlines()[0]}") from e
+    except ValueError as e:
+        raise TableQueryError("unreadable", f"the file of {name} can't be read: {e}") from e
+    if empty:
+        raise TableQueryError("no_columns", f"{name} has no columns")
+    return cells
+
+
 def query(table: DataFrame, sql: str, max_rows: int = 100, timeout_s: float = TIMEOUT_S) -> QueryResult:
     """Run one guarded query on a typed table as view ``t``.
 
@@ -235,7 +269,7 @@ def query(table: DataFrame, sql: str, max_rows: int = 100, timeout_s: float = TI
             session.table(f"global_temp.{name}").createOrReplaceTempView("t")
             df = session.sql(statement)
             box["columns"] = df.columns
-            box["rows"] = df.limit(max_rows + 1).collect()
+            box["rows"] = _bounded(df.limit(max_rows + 1)).collect()
         except Exception as e:
             box["error"] = e
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -99,6 +100,35 @@ def best_similarity(queries: DataFrame, vectors: DataFrame, *, query_id: str = "
     return out.groupBy(query_id).agg(F.max("best").alias("best"))
 
 
+class Snapshots:
+    """Persisted vectors by (model, version, dimensions), one at a time.
+
+    While one caller loads a newer snapshot, others are served the one that is there."""
+
+    def __init__(self) -> None:
+        self.key: tuple | None = None
+        self.held: DataFrame | None = None
+        self.gate = threading.Lock()
+
+    def get(self, vectors: Callable[[], DataFrame], dimensions: int, version: object, model: str | None = None) -> DataFrame:
+        key, (held_key, held) = (model, version, dimensions), (self.key, self.held)
+        if held is not None and held_key == key:
+            return held
+        stale = held is not None and held_key[0] == model and held_key[2] == dimensions
+        if not self.gate.acquire(blocking=not stale):
+            return held
+        try:
+            if self.key != key:
+                fresh, old = of_model(vectors(), dimensions, model).persist(), self.held
+                fresh.count()
+                self.held, self.key = fresh, key
+                if old is not None:
+                    old.unpersist()
+            return self.held
+        finally:
+            self.gate.release()
+
+
 def missing_vectors(chunks: DataFrame, vectors: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
     """Chunks without a vector: what a backfill has to embed."""
     return chunks.join(vectors.select(chunk_id), chunk_id, "left_anti")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import signal
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -22,6 +26,7 @@ CATEGORIES = {
 SKIPPED_FOLDERS = ("node_modules", "bin", "obj", "__pycache__", "$recycle.bin", "system volume information")
 SKIPPED_FILES = r"(?i)^(~\$.*|thumbs\.db|desktop\.ini|.*\.(tmp|lnk|exe|dll|sys|ini|db|db-wal|db-shm|db-journal))$"
 MOST_FILE_BYTES, MOST_CHARS, MOST_EMBEDDED_BYTES, EMBEDDED_DEPTH = 50 << 20, 5_000_000, 50 << 20, 3
+PARSE_SECONDS = 120.0
 
 
 def extension(path: Column) -> Column:
@@ -228,14 +233,25 @@ def embedded_files(path: str, data: bytes) -> list[tuple[str, bytes]]:
         return []
 
 
-def gather(path: str, data: bytes, registry: Registry, depth: int = EMBEDDED_DEPTH, budget: int = MOST_EMBEDDED_BYTES) -> list[Section]:
+@dataclass
+class Budget:
+    """Bytes that files inside a file, at all depths together, may still have."""
+
+    left: int = MOST_EMBEDDED_BYTES
+
+    def take(self, n: int) -> bool:
+        self.left -= n
+        return self.left >= 0
+
+
+def gather(path: str, data: bytes, registry: Registry, depth: int = EMBEDDED_DEPTH, budget: Budget | None = None) -> list[Section]:
     """Sections of a file and of the files inside it, to a depth and a total size."""
+    budget = budget or Budget()
     parser = registry.resolve(path)
     out = list(parser(path, data)) if parser else []
     if depth > 0:
         for name, inner in embedded_files(path, data):
-            budget -= len(inner)
-            if budget < 0:
+            if not budget.take(len(inner)):
                 break
             for s in gather(name, inner, registry, depth - 1, budget):
                 at = s.location
@@ -252,8 +268,32 @@ def as_row(s: Section) -> dict:
     return {"kind": s.kind, "text": s.text, "keep_whole": s.keep_whole, "table_key": s.table_key, "page": at.page, "slide": at.slide, "sheet": at.sheet, "cell_range": at.cell_range, "heading_path": list(at.heading_path), "title": at.title, "embedded_path": list(at.embedded_path)}
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """(path, sections, error) of files (path, content): one bad file costs its own row only."""
+class ParseTimeout(BaseException):
+    """A file took longer than it may; no parser's own handling of errors takes it."""
+
+
+@contextmanager
+def time_limit(seconds: float) -> Iterator[None]:
+    """Ends the block after some seconds; only in a process's main thread, as Spark's workers are."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise ParseTimeout
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def parse(files: DataFrame, *, seconds: float = PARSE_SECONDS) -> DataFrame:
+    """(path, sections, error) of files (path, content): one bad file costs its own row only, and
+    one that takes longer than ``seconds`` has the error timeout; a null content is a locked file."""
     from foliant.operators.chunking import SECTIONS
 
     ship(files.sparkSession)
@@ -266,9 +306,14 @@ def parse(files: DataFrame) -> DataFrame:
                 try:
                     if registry.resolve(path) is None:
                         error = "unsupported"
+                    elif data is None:
+                        error = "locked"
                     else:
-                        sections, cut = limit(gather(path, data, registry))
+                        with time_limit(seconds):
+                            sections, cut = limit(gather(path, data, registry))
                         error = "truncated" if cut else None
+                except ParseTimeout:
+                    error = "timeout"
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"[:500]
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([[as_row(s) for s in sections]], pa.list_(_SECTION)), pa.array([error], pa.string())], names=["path", "sections", "error"])

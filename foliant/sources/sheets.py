@@ -23,6 +23,9 @@ from .html import Cell, Table, render
 SMALL_CELLS, SAMPLES, SAMPLE_CHARS = 400, 5, 100
 WINDOW, MOST_HEADER, MOST_BANNER = 14, 4, 4
 TEXT_SHARE, EMPHASIZED_SHARE = 0.6, 0.4
+# The lines of a table's summary.
+FILE_LINE, SHEET_LINE, CAPTION_LINE, COLUMNS_LINE = "檔案：{}", "工作表：{}（範圍 {}，共 {} 筆資料）", "表格標題：{}", "欄位：{}"
+SAMPLES_LINE, SAMPLE_SEPARATOR, CLOSING_LINE = "範例資料：", "；", "（完整內容請使用 query_table 查詢）"
 
 
 @dataclass(frozen=True)
@@ -363,9 +366,13 @@ class Region:
     caption: str | None
 
     def summary(self, file: str) -> str:
-        cut = lambda v: (v or "")[:SAMPLE_CHARS]
-        head = [f"檔案：{file}", f"工作表：{self.sheet}", f"範圍：{range_text(*self.box)}", f"資料列數：{len(self.rows)}"]
-        return "\n".join([*head, *([f"標題：{self.caption}"] if self.caption else []), "欄位：" + "、".join(self.columns), *(" | ".join(cut(v) for v in r) for r in self.rows[:SAMPLES])])
+        def shown(value: str | None) -> str:
+            text = clean(value or "")
+            return text if len(text) <= SAMPLE_CHARS else text[:SAMPLE_CHARS] + "…"
+
+        samples = [SAMPLE_SEPARATOR.join(f"{n}={shown(v)}" for n, v in zip(self.columns, row, strict=True)) for row in self.rows[:SAMPLES]]
+        caption = [CAPTION_LINE.format(self.caption)] if self.caption else []
+        return "\n".join([FILE_LINE.format(file), SHEET_LINE.format(self.sheet, range_text(*self.box), len(self.rows)), *caption, COLUMNS_LINE.format("、".join(self.columns)), SAMPLES_LINE, *samples, CLOSING_LINE])
 
 
 def region_of(sheet: Sheet, box: Rect) -> Region:
