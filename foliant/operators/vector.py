@@ -41,11 +41,27 @@ def of_model(vectors: DataFrame, dimensions: int, model: str | None = None, vect
     return vectors.filter(F.size(vector_col) == dimensions)
 
 
+#: Dimensions up to which a product with a given vector is one generated expression.
+NATIVE_SIZE = 128
+
+
+def _unrolled(v: Column, query: list[float]) -> Column:
+    """Inner product with a given vector as a balanced sum; a null component gives null."""
+    terms = [F.get(v, F.lit(i)).cast("double") * F.lit(float(np.float32(x))) for i, x in enumerate(query)]
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, score) of the k largest inner products; equal scores by id.
 
-    The query travels as one array literal and scores are taken from Arrow batches as one matrix
-    product, so the plan is a scan and a TakeOrderedAndProject without a shuffle."""
+    The query travels as literals, so the plan is a scan and a TakeOrderedAndProject without a
+    shuffle.  Up to NATIVE_SIZE dimensions the product is one generated expression; beyond that
+    scores are taken from Arrow batches as matrix products."""
+    if 0 < len(query) <= NATIVE_SIZE:
+        scored = vectors.filter(F.size(vector_col) == len(query)).select(id_col, _unrolled(F.col(vector_col), query).alias("score"))
+        return scored.orderBy(F.desc("score"), id_col).limit(k)
     ship(vectors.sparkSession)
     q = np.asarray(query, np.float32)
 
