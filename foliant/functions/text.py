@@ -32,8 +32,17 @@ def grapheme_length(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"(\X)"), F.lit(1)))
 
 
+#: Below U+0300 only CR before LF joins with what follows.
+_JOINING = regex.compile(r"[^\x00-\x0C\x0E-\u02FF]")
+
+
+def simple(text: str) -> bool:
+    """Whether each character is a grapheme for certain."""
+    return _JOINING.search(text) is None
+
+
 def graphemes(text: str) -> list[str]:
-    return regex.findall(r"\X", text)
+    return list(text) if simple(text) else regex.findall(r"\X", text)
 
 
 def collapse_space(c: Column) -> Column:

@@ -80,3 +80,18 @@ def test_ranges():
     assert values.parse_range("B2:D9") == (2, 2, 9, 4) and values.parse_range("x") is None
     assert [values.column_name(n) for n in (1, 26, 27, 703)] == ["A", "Z", "AA", "AAA"]
     assert all(values.column_number(values.column_name(n)) == n for n in range(1, 900))
+
+
+def test_simple_texts_are_their_own_graphemes():
+    import random
+
+    import regex
+
+    from foliant.functions.text import graphemes, simple
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab\r\n\t\x00\x7f\x85\xa9\xad\xaeéſʰ˿́‍👍🏽漢각") for _ in range(rng.randint(0, 8)))
+        assert graphemes(t) == regex.findall(r"\X", t)
+    assert simple("".join(map(chr, range(0x300))).replace("\r", "")) and not simple("\r\n") and not simple("é")
+    assert len(regex.findall(r"\X", "".join(map(chr, range(0x300))).replace("\r", ""))) == 0x300 - 1
