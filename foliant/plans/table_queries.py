@@ -87,8 +87,19 @@ def full_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON starts_with(lower(p_brand) || p_partkey, lower(p_brand) || s_suppkey) AND p_partkey % 10 = s_suppkey % 10")
 def prefix_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
-    return s.join(p, (F.col("p_partkey") % 10 == F.col("s_suppkey") % 10) & F.startswith(F.concat(F.lower("p_brand"), F.col("p_partkey").cast("string")), F.concat(F.lower("p_brand"), F.col("s_suppkey").cast("string")))).select("s_suppkey", "p_partkey")
+    return prefix_pairs(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")).filter("p_partkey % 10 = s_suppkey % 10")
+
+
+def prefix_pairs(suppliers: DataFrame, parts: DataFrame) -> DataFrame:
+    """(s_suppkey, p_partkey) where the part's brand and key start with that brand and the supplier's key.
+
+    The brand stands before both, so a part meets the suppliers whose keys begin its own: an
+    equality with each of its few prefixes."""
+    key = F.col("p_partkey").cast("string")
+    heads = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(key, F.lit(1), i))
+    p = parts.filter("p_brand IS NOT NULL AND p_partkey IS NOT NULL").select("p_partkey", F.explode(heads).alias("head"))
+    s = suppliers.select("s_suppkey", F.col("s_suppkey").cast("string").alias("head"))
+    return p.join(s, "head").select("s_suppkey", "p_partkey")
 
 
 @query("SELECT n_nationkey FROM nation UNION SELECT s_nationkey FROM supplier WHERE s_suppkey < 50 EXCEPT SELECT r_regionkey FROM region")

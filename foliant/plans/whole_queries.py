@@ -10,6 +10,7 @@ from foliant.functions import text as tx
 from foliant.operators import activity
 
 from .registry import query, table
+from .table_queries import prefix_pairs
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -56,10 +57,4 @@ def set_operations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON starts_with(lower(p_brand) || p_partkey, lower(p_brand) || s_suppkey)")
 def prefix_theta_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brand stands before both, so a part meets the suppliers whose keys begin its own: an
-    equality with each of its few prefixes."""
-    key = F.col("p_partkey").cast("string")
-    heads = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(key, F.lit(1), i))
-    p = table(spark, sf_dir, "part").filter("p_brand IS NOT NULL AND p_partkey IS NOT NULL").select("p_partkey", F.explode(heads).alias("head"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("head"))
-    return p.join(s, "head").select("s_suppkey", "p_partkey")
+    return prefix_pairs(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part"))
