@@ -29,3 +29,10 @@ def test_join_is_an_equality_of_prefixes(spark, tmp_path):
     keys = [line for line in out.getvalue().splitlines() if "Left keys" in line]
     assert len(keys) == 1 and "head" in keys[0] and "StartsWith" not in out.getvalue()
     assert sorted(map(tuple, df.collect())) == _sql(tmp_path, registry.oracle_sql()["prefix_theta_join"])
+
+
+def test_pairs_with_other_last_digits_are_kept(spark, tmp_path):
+    _tables(spark, str(tmp_path))
+    got = sorted(map(tuple, registry.queries()["prefix_theta_join"](spark, str(tmp_path)).collect()))
+    assert (1, 12) in got and (12, 123) in got and (-12, -1231) in got and got.count((7, 72)) == 2
+    assert got == _sql(tmp_path, "SELECT s_suppkey, p_partkey FROM supplier JOIN part ON starts_with(lower(p_brand) || p_partkey, lower(p_brand) || s_suppkey)")
