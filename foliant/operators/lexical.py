@@ -13,9 +13,14 @@ phrases are matched on positions, and no text is read.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,6 +189,80 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.filter(F.length(lowered) >= 3).select(id_col, F.explode(grams).alias("trigram")).groupBy("trigram", id_col).agg(F.count("*").alias("tf"))
 
 
+#: Characters counted at once, and distinct trigrams that a task holds before it merges or emits them.
+PIECE, HELD = 4 << 20, 1 << 20
+
+
+def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(trigram, n): how often each trigram occurs in all texts, lower-cased character by character.
+
+    A batch of texts is counted as arrays of code points where it lies, so that a task exchanges its
+    distinct trigrams and not those of each document."""
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(_counts, "trigram string, n long")
+    return counted.groupBy("trigram").agg(F.sum("n").alias("n"))
+
+
+@cache
+def _lower_table() -> np.ndarray:
+    return np.array([ord(chr(c).lower()[0]) for c in range(sys.maxunicode + 1)], np.uint32)
+
+
+def _count_codes(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) of the trigrams at the marked places; a key is three code points of 21 bits."""
+    present = np.zeros(sys.maxunicode + 1, np.bool_)
+    present[codes] = True
+    alphabet = np.flatnonzero(present)
+    place = np.zeros(len(present), np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    c, a = place[codes], len(alphabet)
+    key = ((c[:-2] * a + c[1:-1]) * a + c[2:])[starts]
+    if a**3 <= 4 * len(codes) + (1 << 16):
+        n = np.bincount(key)
+        key = np.flatnonzero(n)
+        n = n[key]
+    else:
+        key, n = np.unique(key, return_counts=True)
+    return alphabet[key // a // a] << 42 | alphabet[key // a % a] << 21 | alphabet[key % a], n
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lower, keys, counts = _lower_table(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def merge() -> None:
+        key, which = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.zeros(len(key), np.int64)
+        np.add.at(n, which, np.concatenate(counts))
+        keys[:], counts[:] = [key], [n]
+
+    def emit() -> pa.RecordBatch:
+        key = keys[0]
+        letters = np.stack((key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF), 1).astype("<u4").tobytes().decode("utf-32-le")
+        out = pa.RecordBatch.from_pydict({"trigram": pa.array([letters[i : i + 3] for i in range(0, len(letters), 3)], pa.string()), "n": pa.array(counts[0], pa.int64())})
+        keys[:], counts[:] = [key[:0]], [counts[0][:0]]
+        return out
+
+    for batch in batches:
+        texts = [t.decode("utf-8", "replace") for t in batch.column(0).cast(pa.binary()).to_pylist() if t]
+        size = np.array([len(t) for t in texts], np.int64)
+        end, whole = np.cumsum(size), "".join(texts)
+        starts = np.ones(len(whole), np.bool_)
+        starts[end - 1] = False
+        starts[end[size > 1] - 2] = False
+        for at in range(0, len(whole), PIECE):
+            codes = lower[np.frombuffer(whole[at : at + PIECE + 2].encode("utf-32-le"), "<u4")]
+            if len(codes) < 3:
+                continue
+            key, n = _count_codes(codes, starts[at : at + len(codes) - 2])
+            keys.append(key)
+            counts.append(n)
+            if sum(map(len, keys)) > HELD:
+                merge()
+                if len(keys[0]) > HELD // 2:
+                    yield emit()
+    merge()
+    yield emit()
+
+
 def candidates(index: DataFrame, terms: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
     """Rows that hold all trigrams of some term: a prefilter for :func:`bm25` over many rows."""
     out = None
