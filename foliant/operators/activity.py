@@ -81,7 +81,11 @@ def evaluate(ranked: DataFrame, expected: DataFrame, ks: tuple[int, ...] = (1, 3
     ranked: query_id, rank, file; expected: query_id, file, observe_only."""
     gated = expected.filter("NOT observe_only")
     first = ranked.join(gated.select("query_id", "file"), ["query_id", "file"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
-    every = gated.select("query_id").distinct().join(first, "query_id", "left")
+    return scores(gated.select("query_id").distinct().join(first, "query_id", "left"), ks)
+
+
+def scores(every: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """Recall@k and mean reciprocal rank of (query_id, rank), a row for each query; a null rank is a miss."""
     recall = [F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in ks]
     return every.agg(F.count("*").alias("queries"), *recall, F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
